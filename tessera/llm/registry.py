@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("tessera.llm.queries_counts",)
+MODULES = ("tessera.llm.queries_counts", "tessera.llm.queries_forms")
 
 
 def queries() -> dict:
