@@ -99,16 +99,16 @@ def visual_forms(texts: DataFrame, column: str = "text") -> DataFrame:
     Blanks, invisible characters, widths and accents are settled alone. Look-alike letters are replaced word by word:
     only in words that mix scripts, or consist of look-alikes only and are no word of the corpus themselves, and only
     where the result is in the corpus vocabulary. That holds the words of all texts without look-alikes, and results
-    that two or more differently written words lead to. Visible differences (an accent, a letter, a hyphen) stay.
+    that two or more differently written words lead to and that have no other reading. Visible differences (an accent, a letter, a hyphen) stay.
     An empty text has an empty form; a text of any length is handled word by word.
     """
     @F.pandas_udf("string")
     def clean(s):
         return s.map(cleaned)
 
-    @F.pandas_udf("array<struct<word: string, made: array<string>>>")
+    @F.pandas_udf("array<struct<word: string, made: array<struct<made: string, sure: boolean>>>>")
     def suspects(s):
-        return s.map(lambda x: [{"word": w, "made": r} for w in set(_WORD.findall(x)) if (r := readings(w))])
+        return s.map(lambda x: [{"word": w, "made": [{"made": m, "sure": not readings(m)} for m in r]} for w in set(_WORD.findall(x)) if (r := readings(w))])
 
     @F.pandas_udf("string")
     def replaced(s, words, made):
@@ -128,10 +128,10 @@ def visual_forms(texts: DataFrame, column: str = "text") -> DataFrame:
 
     foreign = forms.filter(F.col("clean").rlike(r"[\x{131}\x{250}-\x{2af}\x{370}-\x{58f}\x{1f00}-\x{1fff}]"))
     asked = staged(foreign.withColumn("x", F.explode(suspects("clean"))).select("text", "clean", "x.word", "x.made"), "suspects")
-    words = asked.select("word", F.posexplode("made").alias("rank", "made")).distinct().withColumn("low", F.lower("made"))
+    words = asked.select("word", F.posexplode("made").alias("rank", "x")).select("word", "rank", "x.made", "x.sure").distinct().withColumn("low", F.lower("made"))
     seen = forms.select(F.explode(F.regexp_extract_all(F.lower("clean"), F.lit(r"[\p{L}\p{M}]+"), 0)).alias("low")).distinct()
     odd = asked.select(F.lower("word").alias("low")).distinct()
-    agreed = words.groupBy("low").agg(F.count_distinct(F.lower("word")).alias("n")).filter("n > 1").select("low")
+    agreed = words.filter("sure").groupBy("low").agg(F.count_distinct(F.lower("word")).alias("n")).filter("n > 1").select("low")
     # A lower-cased capital such as that of a Greek letter may be a word of the corpus: odd words only count where no text has them as they are.
     own = forms.join(asked.select("text").distinct(), "text", "left_anti").select(F.explode(F.regexp_extract_all(F.lower("clean"), F.lit(r"[\p{L}\p{M}]+"), 0)).alias("low")).distinct()
     vocabulary = seen.join(odd, "low", "left_anti").unionByName(agreed).distinct()
