@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("tessera.llm.queries_counts", "tessera.llm.queries_forms")
+MODULES = ("tessera.llm.queries_counts", "tessera.llm.queries_forms", "tessera.llm.queries_mixture")
 
 
 def queries() -> dict:
