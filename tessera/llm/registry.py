@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("tessera.llm.queries_counts", "tessera.llm.queries_forms", "tessera.llm.queries_mixture")
+MODULES = ("tessera.llm.queries_counts", "tessera.llm.queries_forms", "tessera.llm.queries_mixture", "tessera.llm.queries_personal")
 
 
 def queries() -> dict:
