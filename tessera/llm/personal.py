@@ -30,7 +30,7 @@ _SAINT = regex.compile(r"(?:\b(?:Saint|Sainte|St|Ste|San|Santa|Santo|Sankt|São)
 
 _TITLE = r"(?:(?:Prof|Dr|Mr|Mrs|Ms|Miss|Herr|Frau|Mme|M|Sr|Sra|Don|Doña|Sir)\.? )*"
 _PARTICLE = r"(?:(?:van der|van den|von der|de la|de los|van|von|de|del|della|der|di|da|dos|du|la|le|ter|zu) )*"
-_CAP = r"\p{Lu}[\p{Ll}'’]+"
+_CAP = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:\p{Lu}\p{Ll}+)?"
 _SUR = rf"{_PARTICLE}{_CAP}(?:-{_CAP})*"
 _GIV = rf"{_CAP}(?:-{_CAP})*"
 _INI = r"(?:\p{Lu}\. ?)+"
