@@ -42,7 +42,7 @@ def cached(rows: DataFrame, key: list[str], now: str, ttl_seconds: int, force: b
     if force:
         return rows.limit(0)
     last = latest(rows, key, [at] + ([tie] if tie else []))
-    return last.filter(F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(at) <= ttl_seconds * 1_000_000)
+    return last.filter(F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp")) <= ttl_seconds * 1_000_000)
 
 
 def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -196,8 +196,7 @@ def free_ids(reserved: DataFrame, wanted: DataFrame, document: str = "record_id"
     lists = wanted.groupBy(document).agg(F.array_sort(F.collect_list("ordinal")).alias("asked")).join(used, document, "left")
     n = F.size("asked") + F.coalesce(F.size("used"), F.lit(0))
     free = F.filter(F.sequence(F.lit(0), n), lambda k: ~F.array_contains(F.coalesce("used", F.array().cast("array<int>")), k))
-    pairs = F.arrays_zip(F.col("asked").alias("ordinal"), F.slice(free, F.lit(1), F.size("asked")).alias("k"))
-    return lists.select(document, F.explode(pairs).alias("x")).select(document, F.col("x")[0].alias("ordinal"), F.concat(F.lit("target-"), F.col("x")[1]).alias("id"))
+    return lists.select(document, free.alias("free"), F.posexplode("asked").alias("at", "ordinal")).select(document, "ordinal", F.concat(F.lit("target-"), F.get("free", F.col("at"))).alias("id"))
 
 
 def context_text(items: DataFrame, document: str = "record_id", limit: int = 500) -> DataFrame:

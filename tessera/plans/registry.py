@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with ``queries()`` and ``oracle_sql()``.
-MODULES = ("tessera.plans.structure",)
+MODULES = ("tessera.plans.structure", "tessera.plans.curation")
 
 
 def queries() -> dict:
