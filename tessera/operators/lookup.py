@@ -66,7 +66,7 @@ def resolve_fields(values: DataFrame, registry: DataFrame, column: str) -> DataF
 def alias_conflicts(registry: DataFrame) -> DataFrame:
     """(name, fields): normalised names that more than one field claims."""
     names = registry.select("field_id", F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n"))
-    return names.select(harmonize_key(F.col("n")).alias("name"), "field_id").groupBy("name").agg(F.count_distinct("field_id").alias("fields")).filter("fields > 1")
+    return names.select(harmonize_key(F.col("n")).alias("name"), "field_id").dropna(subset=["name"]).groupBy("name").agg(F.count_distinct("field_id").alias("fields")).filter("fields > 1")
 
 
 def chosen(decisions: DataFrame, candidates: DataFrame, by: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def dot(a: str, b: str):
@@ -31,7 +32,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, batch: int = 512)
     """
     spark = queries.sparkSession
     asked = queries.select("query_id", "vector").dropna()
-    key_type = dict(queries.dtypes)["query_id"]
+    key_type, term_type = queries.schema["query_id"].dataType, vectors.schema["term_key"].dataType
+    id_arrow, term_arrow = to_arrow_type(key_type), to_arrow_type(term_type)
     out = None
     block, blocks = [], []
     for row in asked.toLocalIterator():
@@ -69,10 +71,9 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, batch: int = 512)
             rows = [(ids[i], o, t, -s) for (i, o), mine in best.items() for s, t in mine]
             if rows:
                 a, b_, c, d = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b_), pa.array(c), pa.array(d)], ["query_id", "ontology_id", "term_key", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, id_arrow), pa.array(b_, pa.string()), pa.array(c, term_arrow), pa.array(d, pa.float64())], ["query_id", "ontology_id", "term_key", "score"])
 
-        terms_type = dict(vectors.dtypes)["term_key"]
-        found = vectors.select("ontology_id", "term_key", "vector").dropna().mapInArrow(near, f"query_id {key_type}, ontology_id string, term_key {terms_type}, score double")
+        found = vectors.select("ontology_id", "term_key", "vector").dropna().mapInArrow(near, f"query_id {key_type.simpleString()}, ontology_id string, term_key {term_type.simpleString()}, score double")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return asked.join(vectors.select("ontology_id", "term_key"), F.lit(False)).select("query_id", "ontology_id", "term_key", F.lit(0.0).alias("score"), F.lit(1).alias("position"))
