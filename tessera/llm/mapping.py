@@ -103,8 +103,10 @@ def value_cost(words: list[str], meant: list[str]) -> float | None:
                     for cut in (joined.removeprefix(r[0]), joined.removesuffix(r[0])):
                         if cut == whole:
                             return 1.2
-        n = slips(joined, whole, 1 if len(whole) < 12 else 2)
-        if n <= (1 if len(whole) < 12 else 2):
+        # More words than meant may be a word in pieces, never a word of their own with a slip.
+        most = 0 if len(core) > len(meant) else 1 if len(whole) < 12 else 2
+        n = slips(joined, whole, most)
+        if n <= most:
             return 1.0 + n
     return None
 
