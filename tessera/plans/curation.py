@@ -320,7 +320,33 @@ _TOKENS = r"regexp_extract_all(strip_accents(lower(coalesce({}, ''))), '[\p{{L}}
 def oracle_sql() -> dict[str, str]:
     joined = lambda *c: ", ".join(c)
     tok = lambda c: _TOKENS.format(c)
+    cols = (tok("title"), tok("array_to_string(list_concat(coalesce(exact, []), coalesce(related, [])), ' ')"), tok("description"), tok("concat_ws(' ', id, accession, iri)"))
+    docs = "docs as (select ontology_id, term_key, [" + joined(*cols) + "] as cs, len(flatten([" + joined(*cols) + "])) as size from typed), totals as (select count(*) as n, avg(size) as mean from docs)"
+    scored = """df as (select p, count(*) as df from hits group by 1),
+scored as (select h.*, -(case when ln((n - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n - df + 0.5) / (df + 0.5)) end) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d.size / mean)) as s from hits h join df using (p) join docs d using (ontology_id, term_key), totals),
+best as (select query_id, ontology_id, term_key, sum(s * times) as score from words join scored using (p) group by 1, 2, 3),
+ranked as (select *, row_number() over (partition by query_id, ontology_id order by round(score, 9), term_key) as position from best qualify position <= 25)"""
+    hits = """hits as (select * from (select w.p, d.ontology_id, d.term_key, list_sum(list_transform(d.cs, lambda t: len(list_filter(range(1, len(t) - len(w.p) + 2), lambda i: (len(w.p) = 1 or t[i:i + len(w.p) - 2] = w.p[1:len(w.p) - 1]) and starts_with(t[i + len(w.p) - 1], w.p[len(w.p)]))))) as f from (select distinct p from words) w, docs d) where f > 0)"""
+    tree = """k as (select ontology_id, term_key, vector, row_number() over (partition by ontology_id order by term_key) as k from v),
+seeds as (select near.query_id, near.ontology_id, k.term_key as seed, k.k, q.vector from near join k using (ontology_id, term_key) join q using (query_id) where position <= 2),
+reached as (select s.query_id, s.ontology_id, s.seed, 'parent' as relation, 1 as depth, k.term_key, k.vector as v, s.vector from seeds s join k on k.ontology_id = s.ontology_id and k.k = s.k // 2
+  union all select s.query_id, s.ontology_id, s.seed, 'parent', 2, k.term_key, k.vector, s.vector from seeds s join k on k.ontology_id = s.ontology_id and k.k = s.k // 4 and s.k > 1
+  union all select s.query_id, s.ontology_id, s.seed, 'child', 1, k.term_key, k.vector, s.vector from seeds s join k on k.ontology_id = s.ontology_id and k.k // 2 = s.k),
+relatives as (select query_id, ontology_id, seed, relation, depth, term_key, round(list_cosine_similarity(vector, v), 6) as score from reached r
+  where not exists (select 1 from seeds o where o.query_id = r.query_id and o.ontology_id = r.ontology_id and o.seed = r.term_key)
+  qualify row_number() over (partition by query_id, ontology_id, seed, relation, depth order by list_cosine_similarity(vector, v) desc, term_key) = 1)"""
     out = {
+        "hierarchy_relatives": f"with {_NEAR}, {tree} select * from relatives",
+        "fts_phrase": f"""with {_TERMS}, {docs},
+words as (select query_id, {tok('w')} as p, count(*) as times from (select term_key as query_id, unnest(regexp_extract_all(lower({sql_key('title')}), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) as w from typed) group by 1, 2),
+{hits}, {scored} select query_id, ontology_id, term_key, round(score, 6) as score, position from ranked""",
+        "exact_then_fts": f"""with {_TERMS}, {docs},
+keyed as (select ref_id as query_id, {sql_key('canonical')} as lookup_key from reference_values),
+once as (select *, row_number() over (partition by ontology_id, lookup_key, term_key order by index_rank, source_order, index_name) as n from lookup_entries where lookup_key is not null),
+placed as (select ontology_id, lookup_key, term_key, row_number() over (partition by ontology_id, lookup_key order by index_rank, source_order, term_key) as position from once where n = 1),
+exact_hits as (select query_id, ontology_id, term_key, position from keyed join placed using (lookup_key)),
+words as (select query_id, {tok('w')} as p, count(*) as times from (select ref_id as query_id, unnest(regexp_extract_all(lower(canonical), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) as w from reference_values) group by 1, 2),
+{hits}, {scored} select *, 'exact' as match_type from exact_hits union all select query_id, ontology_id, term_key, position, 'fts' from ranked where query_id not in (select query_id from exact_hits)""",
         "harmonize_key": f"select target_id, {sql_key('pre_hz_label')} as key from targets",
         "key_twice": f"select target_id, {sql_key(sql_key('pre_hz_label'))} as key from targets",
         "typed_terms": f"with {_TERMS} select ontology_id, term_key, id, accession, iri, title, description, len(parents) as n_parents, deprecated from typed",
