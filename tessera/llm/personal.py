@@ -26,6 +26,7 @@ library lighthouse line lock lodge market memorial mill mine monument museum obs
 railway reservoir river road school society square stadium station street theatre tower tramway trophy trust tunnel university valley viaduct way wharf woods yard
 district survey county office council board guild weavers historical drainage foundry herbarium authority association department besitzt brücke kirche kapelle straße schule pont rue école puente calle escuela""".split()
 _THINGS = frozenset(THINGS)
+_TITLES = frozenset("prof dr mr mrs ms miss herr frau mme sr sra don doña sir saint st".split())
 _SAINT = regex.compile(r"(?:\b(?:Saint|Sainte|St|Ste|San|Santa|Santo|Sankt|São)\.?[ -]|\b(?:File|Image|Category|Datei|Fichier|Archivo):[^|\]]*)$", regex.I)
 
 _TITLE = r"(?:(?:Prof|Dr|Mr|Mrs|Ms|Miss|Herr|Frau|Mme|M|Sr|Sra|Don|Doña|Sir)\.? )*"
@@ -227,7 +228,7 @@ def _harvest(batches):
                 if (cue := _BEFORE_NAME.search(before)) and len(cue.group().strip()) > 3 or (cue := _AFTER_NAME.match(after)) and "|" not in cue.group() and not _SAINT.search(before):
                     words = [w.lower() for w in m.group("g").split("-")]
                     last = [w.lower() for w in (m.group("s"), m.group("t")) if w]
-                    if _THINGS.isdisjoint(words + last):
+                    if (_THINGS | _TITLES).isdisjoint(words + last):
                         rows += [("given", w) for w in words] + [("surname", w) for w in last]
         if rows:
             roles, words = zip(*rows)
