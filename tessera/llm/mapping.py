@@ -132,6 +132,8 @@ def map_values(values: DataFrame, entries: DataFrame, threshold: float = THRESHO
     entry, are left out; an entry with null or empty texts is never found. Null aliases count as none.
     """
     spark = values.sparkSession
+    # Distinct values are few bytes but much work each: spread over all cores, not by bytes.
+    parts = 3 * spark.sparkContext.defaultParallelism
 
     @F.pandas_udf("array<string>")
     def split(s):
@@ -169,8 +171,8 @@ def map_values(values: DataFrame, entries: DataFrame, threshold: float = THRESHO
         kept = df.select("*", F.posexplode(F.slice("tokens", 1, n - F.ceil(n * threshold).cast("int") + 1)).alias("at", "token"))
         return kept.filter(F.col("token") >= known)
 
-    raw = staged(values.select("value").dropna().distinct().withColumn("words", split("value")), "raw-values")
-    asked = staged(raw.filter("size(words) > 0").select("words").distinct().withColumn("tokens", tokens("words")).filter("size(tokens) > 0"), "asked")
+    raw = staged(values.select("value").dropna().distinct().repartition(parts).withColumn("words", split("value")), "raw-values")
+    asked = staged(raw.filter("size(words) > 0").select("words").distinct().repartition(parts).withColumn("tokens", tokens("words")).filter("size(tokens) > 0"), "asked")
     refs = staged(forms.withColumn("tokens", tokens("meant")).filter("size(tokens) > 0"), "refs")
     right = prefixes(refs).select(*[F.col(c).alias(f"r_{c}") for c in ("ref_id", "canonical", "meant", "tokens", "at")], "token")
     pairs = prefixes(asked).join(right, "token")
