@@ -126,11 +126,12 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, parts: int | None = None) -
     them, items left over take gaps of the nearest higher range, matched by rank so that no gap is given twice; gaps are
     updated, and this repeats until no item fits any gap. The items left open new containers, and so on. Ranges are cut
     by size and hash, so a third of all items having one size is no hot spot; one number per range and a histogram
-    of sizes are all the driver sees. Items of 0 tokens (null, empty texts) are put into the first container that
+    of sizes are all the driver sees. Items of 0 or null tokens (null, empty texts) are put into the first container that
     exists, or container 0. Repeated rows are items of their own. The same input rows give a valid, not always the same, packing.
     """
     spark = sizes.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = sizes.withColumn("tokens", F.coalesce(F.col("tokens").cast("long"), F.lit(0).cast("long")))
     n = F.floor((F.col("tokens") + capacity - 1) / capacity)
     pieces = sizes.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(1)).cast("int") - 1)))
     pieces = pieces.withColumn("piece_tokens", F.least(F.lit(capacity).cast("long"), F.col("tokens") - F.col("piece") * capacity))

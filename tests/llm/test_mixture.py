@@ -32,7 +32,7 @@ def test_equal_and_hard_sizes(spark):
     check(spark, [40] * 300 + [7] * 50, 100, 1.3)
     check(spark, [60] * 40 + [41] * 40, 100, 1.7)
     check(spark, [], 100, 1)
-    check(spark, [0, 0], 100, 3)
+    check(spark, [0, None, 0], 100, 3)
     check(spark, [100, 250, 99], 100, 1.1)
 
 
