@@ -60,19 +60,26 @@ def repeat_filter(hashed: DataFrame, log_bits: int) -> np.ndarray:
     piece = min(_PIECE, size)
 
     def fill(batches):
-        once, again = np.zeros(size, bool), np.zeros(size, bool)
+        once, again = np.zeros(size // 8, np.uint8), np.zeros(size // 8, np.uint8)
+
+        def mark(bits, at):
+            """Set the bits at sorted distinct places."""
+            byte, bit = at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8)
+            first = np.concatenate([[0], np.flatnonzero(np.diff(byte)) + 1])
+            bits[byte[first]] |= np.bitwise_or.reduceat(bit, first)
+
         for batch in batches:
             h = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for part in range(0, len(h), 200_000):
-                at = np.concatenate([np.unique(p) if False else p for p in _places(h[part : part + 200_000], log_bits)])
-                at, n = np.unique(at, return_counts=True)
-                again[at[(n > 1) | once[at]]] = True
-                once[at] = True
+                at, n = np.unique(np.concatenate(_places(h[part : part + 200_000], log_bits)), return_counts=True)
+                seen = at[(n > 1) | ((once[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)]
+                if len(seen):
+                    mark(again, seen)
+                mark(once, at)
         for k in range(size // piece):
-            o = once[k * piece : (k + 1) * piece]
+            o, a = (x[k * piece // 8 : (k + 1) * piece // 8] for x in (once, again))
             if o.any():
-                a = again[k * piece : (k + 1) * piece]
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(o).tobytes()], pa.binary()), pa.array([np.packbits(a).tobytes()], pa.binary())], ["piece", "once", "again"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([o.tobytes()], pa.binary()), pa.array([a.tobytes()], pa.binary())], ["piece", "once", "again"])
 
     def merge(batches):
         current, once, again = None, None, None
