@@ -30,30 +30,36 @@ def dictionary(pairs: DataFrame, names: list[str]) -> DataFrame:
     return staged(values.join(bases, "part").select(*names, (F.col("base") + place - 1).alias("id")), "dictionary")
 
 
+_BLOCK_ROW = "block long, at array<int>, rows array<long>, records array<long>"
+
+
 def _accumulate(batches):
-    """(id, occurrences, records) rows to count arrays of blocks."""
+    """(id, occurrences, records) rows to count arrays of blocks, emitted with the places that are used."""
     open_: dict[int, list] = {}
 
     def out(block):
         rows, records, _ = open_.pop(block)
-        used = np.nonzero(rows)[0]
-        lo, hi = int(used[0]), int(used[-1]) + 1
+        used = np.nonzero(rows)[0].astype(np.int32)
         return pa.RecordBatch.from_arrays(
-            [pa.array([block], pa.int64()), pa.array([lo], pa.int32()), pa.array([rows[lo:hi]], pa.list_(pa.int64())), pa.array([records[lo:hi]], pa.list_(pa.int64()))], ["block", "lo", "rows", "records"])
+            [pa.array([block], pa.int64()), pa.array([used], pa.list_(pa.int32())), pa.array([rows[used]], pa.list_(pa.int64())), pa.array([records[used]], pa.list_(pa.int64()))], ["block", "at", "rows", "records"])
 
     for batch in batches:
         ids, n, r = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        blocks = ids // BLOCK
-        for block in np.unique(blocks):
-            mine = blocks == block
+        order = np.argsort(ids, kind="stable")
+        ids, n, r = ids[order], n[order], r[order]
+        cuts = [0, *(np.flatnonzero(np.diff(ids // BLOCK)) + 1).tolist(), len(ids)]
+        for i, j in zip(cuts, cuts[1:]):
+            if i == j:
+                continue
+            block = int(ids[i] // BLOCK)
             if block not in open_:
                 open_[block] = [np.zeros(BLOCK, np.int64), np.zeros(BLOCK, np.int64), 0]
-            at = ids[mine] - block * BLOCK
-            np.add.at(open_[block][0], at, n[mine])
-            np.add.at(open_[block][1], at, r[mine])
-            open_[block][2] += len(at)
-        while len(open_) > OPEN_BLOCKS:
-            yield out(max(open_, key=lambda b: open_[b][2]))
+            at = ids[i:j] - block * BLOCK
+            np.add.at(open_[block][0], at, n[i:j])
+            np.add.at(open_[block][1], at, r[i:j])
+            open_[block][2] += j - i
+            if len(open_) > OPEN_BLOCKS:
+                yield out(max(open_, key=lambda b: open_[b][2]))
     for block in list(open_):
         yield out(block)
 
@@ -67,14 +73,14 @@ def _summed(batches):
         return pa.RecordBatch.from_arrays([pa.array(at + block * BLOCK, pa.int64()), pa.array(rows[at], pa.int64()), pa.array(records[at], pa.int64())], ["id", "n_rows", "n_records"])
 
     for batch in batches:
-        for k, lo, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+        for k, at, a, b in zip(batch.column(0).to_pylist(), *batch.columns[1:]):
             if k != block:
                 if block is not None:
                     yield out()
                 block, rows, records = k, np.zeros(BLOCK, np.int64), np.zeros(BLOCK, np.int64)
-            a, b = a.values.to_numpy(zero_copy_only=False), b.values.to_numpy(zero_copy_only=False)
-            rows[lo : lo + len(a)] += a
-            records[lo : lo + len(b)] += b
+            at, a, b = (x.values.to_numpy(zero_copy_only=False) for x in (at, a, b))
+            rows[at] += a
+            records[at] += b
     if block is not None:
         yield out()
 
@@ -91,7 +97,7 @@ def value_counts(values: DataFrame, names: list[str], record: str) -> DataFrame:
     pairs = staged(pairs.select(*names, "n", F.col(record).isNotNull().cast("long").alias("r")), "pairs")
     ids = dictionary(pairs, names)
     encoded = skew_join(pairs, ids, names).select("id", "n", "r")
-    blocks = encoded.mapInArrow(_accumulate, "block long, lo int, rows array<long>, records array<long>")
+    blocks = encoded.mapInArrow(_accumulate, _BLOCK_ROW)
     counts = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_summed, "id long, n_rows long, n_records long")
     return ids.join(counts, "id").drop("id")
 
