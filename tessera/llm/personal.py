@@ -128,6 +128,12 @@ _REVERSED = regex.compile(rf"(?:{_SUR}|{_UPS}|{_LOW}), $")
 _ANY_NAME = regex.compile(rf"(?:{_SUR}, {_GIV}{_MORE}|(?:{_GIV}{_MORE}|(?:\p{{Lu}}\. ?)+)? ?{_SUR}|{_UP}(?:-{_UP})*{_MORE} {_UPS}|{_UPS}, {_UP}{_MORE})$")
 
 
+#: Small-letter texts one of which every cue (every Spanish street) has; a text without them is not searched for cues.
+_CUE_PARTS = ("cense holder ", "licence holder ", "interview with ", "text by ", "photo", "foto", "kontakt: ", "contact: ", "author", "informant", "family of ", "my teacher ", "caretaker, ", "ask for ", "lol ", "[[user:")
+_END_PARTS = ("lives at", "wohnhaft", "habite", "vive en", "got caught", "is a liar", "may be reached", "the keeper", "(ssn", "(id no", "(passport", "(national id", "(social sec", " personal")
+_SPANISH_PARTS = ("calle ", "c/ ", "avenida ", "avda", "avd.", "av.", "plaza ", "pl. ", "paseo ", "camino ", "carrera ", "ronda ")
+
+
 def _windows(places, before: int, after: int, size: int) -> list[tuple[int, int]]:
     """Merged stretches around the places."""
     out: list[list[int]] = []
@@ -143,6 +149,7 @@ def _windows(places, before: int, after: int, size: int) -> list[tuple[int, int]
 def _matches(kind: str, text: str, given: frozenset):
     """(number of the pattern, match) of all candidates of a kind; the quick searches find every place a pattern can match."""
     n = len(text)
+    low = text.lower() if kind in ("name", "street_address") else ""
     if kind == "id_number":
         for m in _ID.finditer(text):
             yield 0, m
@@ -158,16 +165,17 @@ def _matches(kind: str, text: str, given: frozenset):
         for place in _HOUSE.finditer(text):
             if m := _STREET.match(text, place.start()):
                 yield 0, m
-        around = sorted([m.start() for m in _GERMAN.finditer(text)] + [m.start() for m in _SPANISH.finditer(text)])
+        spanish = [m.start() for m in _SPANISH.finditer(text)] if any(p in low for p in _SPANISH_PARTS) else []
+        around = sorted([m.start() for m in _GERMAN.finditer(text)] + spanish)
         for x, y in _windows(around, 45, 60, n):
             for m in _STREET.finditer(text, x, y):
                 yield 0, m
     else:
-        starts = {m.end() for m in _CUE.finditer(text)}
+        starts = {m.end() for m in _CUE.finditer(text)} if any(p in low for p in _CUE_PARTS) else set()
         for m in list(starts):
             if t := regex.match(_TITLE, text[m : m + 30]):
                 starts.add(m + t.end())
-        for m in _END_CUE.finditer(text):
+        for m in _END_CUE.finditer(text) if any(p in low for p in _END_PARTS) else ():
             lo = max(0, m.start() - 70)
             if found := _ANY_NAME.search(text, lo, m.start()):
                 starts.add(found.start())
