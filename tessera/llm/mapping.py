@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -14,10 +14,10 @@ from tessera.llm.looks import cleaned, latin
 from tessera.operators.skew import skew_join
 from tessera.session import staged
 
-#: Similarity from which a pair is verified word by word; slips in two short words leave about this much in common.
-THRESHOLD = 0.25
-#: Tokens are hashed into so many buckets, which bounds the rarity table that every executor gets (4 MB).
+#: Words, keys and letter pairs are hashed into so many buckets, which bounds the tables that every executor gets (4 MB and 1 MB).
 BUCKETS = 1 << 20
+#: Letters at the start of a word, and of a value written as one word, whose slips make the keys.
+START, JOINED_START = 8, 10
 #: Words added to a value that do not change what it stands for; "#" stands for a number, "?" for a letter.
 REMARKS = ("biopsy", "pooled", "probably", "possibly", "see notes", "see note", "sample", "from", "the", "a", "confirmed", "unconfirmed", "type", "rep #", "replicate #", "batch ?", "batch #", "n #", "reported", "free text", "orig", "original", "characteristics", "characteristic", "approx", "verified")
 _REMARKS = sorted((tuple(r.split()) for r in REMARKS), key=len, reverse=True)
@@ -95,22 +95,73 @@ def value_cost(words: list[str], meant: list[str]) -> float | None:
             if not left or without_remarks([*left, "\0"]) == ["\0"]:
                 return total + 0.1 * len(left)
     core = without_remarks(words)
-    joined, whole = "".join(core), "".join(meant)
-    if len(core) != len(meant) and len(whole) >= 6:
-        if joined != whole and len(core) == 1:
-            for r in _REMARKS:
-                if len(r) == 1 and len(r[0]) > 3:
-                    for cut in (joined.removeprefix(r[0]), joined.removesuffix(r[0])):
-                        if cut == whole:
-                            return 1.2
+    return joined_cost("".join(core), len(core), "".join(meant), len(meant))
+
+
+def without_glued(joined: str) -> list[str]:
+    """A word without a remark glued to one of its ends."""
+    glued = [r[0] for r in _REMARKS if len(r) == 1 and len(r[0]) > 3]
+    return [cut for r in glued for cut in (joined.removeprefix(r), joined.removesuffix(r)) if cut != joined]
+
+
+def joined_cost(joined: str, n_words: int, whole: str, n_meant: int) -> float | None:
+    """The cost of reading ``n_words`` words written as one as ``n_meant`` others written as one."""
+    if n_words != n_meant and len(whole) >= 6:
+        if joined != whole and n_words == 1 and whole in without_glued(joined):
+            return 1.2
         # More words than meant may be a word in pieces, never a word of their own with a slip.
-        most = 0 if len(core) > len(meant) else 1 if len(whole) < 12 else 2
+        most = 0 if n_words > n_meant else 1 if len(whole) < 12 else 2
         n = slips(joined, whole, most)
         if n <= most:
             return 1.0 + n
     return None
 
 
+def _left_out(word: str, most: int, start: int) -> set[str]:
+    """The first ``start`` letters with up to ``most`` of them left out.
+
+    Words at most ``most`` slips apart share one: every slip costs the common letters of their starts one at most.
+    """
+    head = word[:start]
+    return {"".join(x) for n in range(min(most, len(head)) + 1) for x in combinations(head, len(head) - n)}
+
+
+# A unit is what one key search is about: "w" and a word, or "j", a number of words and these words written as one.
+def asked_units(words: list[str]) -> list[str]:
+    core = without_remarks(words)
+    return [*sorted({f"w {w}" for w in words}), f"j{len(core)} {''.join(core)}"]
+
+
+def meant_units(meant: list[str], anchor: str) -> list[str]:
+    """Every value that stands for ``meant`` has a word that stands for ``anchor``, any word of it, or stands for it as one word."""
+    return [f"w {anchor}", f"j{len(meant)} {''.join(meant)}"]
+
+
+def asked_keys(unit: str) -> set[str]:
+    """Keys of a unit of a value: one at least is among ``meant_keys`` of each unit that ``unit_fits``."""
+    kind, _, word = unit.partition(" ")
+    if kind == "w":
+        most = 0 if len(word) < 2 else 1 if len(word) < 7 else 2
+        return {f"p{word}"} | {f"w{k}" for k in _left_out(word, most, START)}
+    cut = without_glued(word) if kind == "j1" else []
+    return {f"j{k}" for k in _left_out(word, 1 if len(word) < 10 else 2, JOINED_START)} | {f"j{c[:JOINED_START]}" for c in cut}
+
+
+def meant_keys(unit: str) -> set[str]:
+    kind, _, word = unit.partition(" ")
+    if kind == "w":
+        most = 0 if len(word) < 3 else 1 if len(word) < 9 else 2
+        return {f"p{word[:n]}" for n in range(3, len(word) - 1)} | {f"w{k}" for k in _left_out(word, most, START)}
+    return {f"j{k}" for k in _left_out(word, 1 if len(word) < 12 else 2, JOINED_START)} if len(word) >= 6 else set()
+
+
+def unit_fits(unit: str, meant: str) -> bool:
+    (a, _, x), (b, _, y) = unit.partition(" "), meant.partition(" ")
+    if a[0] != b[0]:
+        return False
+    return (word_cost(x, y) if a == "w" else joined_cost(x, int(a[1:]), y, int(b[1:]))) is not None
+
+
 def tokens_of(words: list[str]) -> set[int]:
     """Hashed pairs of letters that follow each other directly or after one letter; single letters for one-letter words."""
     out = set()
@@ -119,17 +170,21 @@ def tokens_of(words: list[str]) -> set[int]:
             out.add(w)
         for gap in (1, 2):
             out.update(w[i] + w[i + gap] for i in range(len(w) - gap))
-    return {zlib.crc32(t.encode()) % BUCKETS for t in out}
+    return {_bucket(t) for t in out}
 
 
-def map_values(values: DataFrame, entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def _bucket(text: str) -> int:
+    return zlib.crc32(text.encode()) % BUCKETS
+
+
+def map_values(values: DataFrame, entries: DataFrame) -> DataFrame:
     """(value, ref_id, canonical) for the distinct non-null ``value`` texts that stand for an entry (ref_id, canonical, aliases).
 
-    A prefix-filter set-similarity join: tokens are ordered by their rarity in the reference list, rarest first; only the
-    prefixes that two sets of the wanted similarity must share are joined, pairs are cut by length and position, the
-    Jaccard similarity is computed exactly, the rest is checked word by word, and the closest entry is kept (ties: the
-    smallest ref_id). Values that only differ in formatting are joined once. Values without words, or that stand for no
-    entry, are left out; an entry with null or empty texts is never found. Null aliases count as none.
+    Every pair that ``value_cost`` accepts is checked. It has a word that stands for the anchor of the entry's text, its rarest
+    word in the reference list, or stands for it written as one word; such units meet at a key of their starts with letters
+    left out, or of a shortened word. The closest entry is kept (least cost, then the most letter pairs in common by Jaccard,
+    then the smallest ref_id). Values that only differ in formatting are joined once. Values without words, or that stand for
+    no entry, are left out; an entry with null or empty texts is never found. Null aliases count as none.
     """
     spark = values.sparkSession
     # Distinct values are few bytes but much work each: spread over all cores, not by bytes.
@@ -142,58 +197,74 @@ def map_values(values: DataFrame, entries: DataFrame, threshold: float = THRESHO
     texts = entries.select("ref_id", "canonical", F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("text")).filter("text is not null")
     forms = staged(texts.select("ref_id", "canonical", split("text").alias("meant")).filter("size(meant) > 0").distinct(), "forms")
 
-    @F.pandas_udf("array<int>")
-    def raw_tokens(s):
-        return s.map(lambda w: sorted(tokens_of(list(w))))
-
-    counts = forms.select(F.explode(raw_tokens("meant")).alias("t")).groupBy("t").count().collect()  # at most BUCKETS rows
-    rarity = np.zeros(BUCKETS, np.int64)
-    for r in counts:
-        rarity[r["t"]] = r["count"]
-    order = np.lexsort((np.arange(BUCKETS), rarity))
-    rank = np.empty(BUCKETS, np.int32)
-    rank[order] = np.arange(BUCKETS, dtype=np.int32)
-    known = int((rarity == 0).sum())
-    ranks = spark.sparkContext.broadcast(rank)
+    def bucket_table(df: DataFrame, dtype):
+        """Broadcast numbers of rows by bucket of the column ``b``."""
+        table = np.zeros(BUCKETS, dtype)
+        for r in df.groupBy("b").count().collect():  # at most BUCKETS rows
+            table[r["b"]] = min(r["count"], np.iinfo(dtype).max)
+        return spark.sparkContext.broadcast(table)
 
     @F.pandas_udf("array<int>")
-    def tokens(s):
-        table = ranks.value
-        return s.map(lambda w: sorted(int(table[t]) for t in tokens_of(without_remarks(list(w)))))
+    def buckets(s):
+        return s.map(lambda x: sorted(_bucket(w) for w in set(x)))
 
-    @F.pandas_udf("double")
-    def cost(words, meant):
-        return pd.Series([value_cost(list(a), list(b)) for a, b in zip(words, meant)], dtype="float64")
+    rarity = bucket_table(forms.select(F.explode(buckets("meant")).alias("b")), np.int32)
 
-    def prefixes(df: DataFrame) -> DataFrame:
-        """Every row with each token of its prefix that the reference list has."""
-        n = F.size("tokens")
-        kept = df.select("*", F.posexplode(F.slice("tokens", 1, n - F.ceil(n * threshold).cast("int") + 1)).alias("at", "token"))
-        return kept.filter(F.col("token") >= known)
+    @F.pandas_udf("array<string>")
+    def units_of_meant(s):
+        table = rarity.value
+        return s.map(lambda m: meant_units(list(m), min(m, key=lambda w: (table[_bucket(w)], -len(w), w))))
+
+    @F.pandas_udf("array<string>")
+    def units_of_asked(s):
+        return s.map(lambda w: asked_units(list(w)))
+
+    @F.pandas_udf("array<string>")
+    def keys_of_meant(s):
+        return s.map(lambda u: sorted(meant_keys(u)))
+
+    refs = staged(forms.select("*", F.explode(units_of_meant("meant")).alias("meant_unit")), "refs")
+    right = staged(refs.select("meant_unit").distinct().select("meant_unit", F.explode(keys_of_meant("meant_unit")).alias("key")), "meant-keys")
+    known = bucket_table(right.select(F.explode(buckets(F.array("key"))).alias("b")), np.int8)
+
+    @F.pandas_udf("array<string>")
+    def keys_of_asked(s):
+        table = known.value
+        return s.map(lambda u: sorted(k for k in asked_keys(u) if table[_bucket(k)]))
+
+    @F.pandas_udf("boolean")
+    def fits(unit, meant):
+        return pd.Series([unit_fits(a, b) for a, b in zip(unit, meant)], dtype="bool")
+
+    @F.pandas_udf("cost double, jaccard double")
+    def closeness(words, meant):
+        rows = []
+        for a, b in zip(words, meant):
+            a, b = list(a), list(b)
+            if (c := value_cost(a, b)) is None:
+                rows.append((None, None))
+            else:
+                x, y = tokens_of(without_remarks(a)), tokens_of(b)
+                rows.append((c, len(x & y) / len(x | y)))
+        return pd.DataFrame(rows, columns=["cost", "jaccard"], dtype="float64")
 
     raw = staged(values.select("value").dropna().distinct().repartition(parts).withColumn("words", split("value")), "raw-values")
-    asked = staged(raw.filter("size(words) > 0").select("words").distinct().repartition(parts).withColumn("tokens", tokens("words")).filter("size(tokens) > 0"), "asked")
-    refs = staged(forms.withColumn("tokens", tokens("meant")).filter("size(tokens) > 0"), "refs")
-    right = prefixes(refs).select(*[F.col(c).alias(f"r_{c}") for c in ("ref_id", "canonical", "meant", "tokens", "at")], "token")
-    pairs = prefixes(asked).join(right, "token")
-    n, m = F.size("tokens"), F.size("r_tokens")
-    need = F.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
-    pairs = pairs.filter((n >= m * threshold) & (m >= n * threshold) & (1 + F.least(n - F.col("at") - 1, m - F.col("r_at") - 1) >= need))
-    shared = F.array_intersect("tokens", "r_tokens")
-    # A pair meets at every common token of its prefixes; it is kept at the first.
-    pairs = pairs.withColumn("shared", shared).filter((F.col("token") == F.element_at("shared", 1)) & (F.size("shared") >= need))
-    pairs = pairs.withColumn("jaccard", F.size("shared") / (n + m - F.size("shared")))
-    checked = pairs.select("words", "r_ref_id", "r_canonical", "jaccard", cost("words", "r_meant").alias("cost")).filter("cost is not null")
-    best = checked.groupBy("words").agg(F.min(F.struct("cost", (-F.col("jaccard")).alias("unlike"), F.col("r_ref_id").alias("ref_id"), F.col("r_canonical").alias("canonical"))).alias("b"))
+    asked = staged(raw.filter("size(words) > 0").select("words").distinct().repartition(parts).select("words", F.explode(units_of_asked("words")).alias("unit")), "asked")
+    left = asked.select("unit").distinct().repartition(parts).select("unit", F.explode(keys_of_asked("unit")).alias("key"))
+    met = left.join(right, "key").select("unit", "meant_unit").distinct()
+    near = staged(met.filter(fits("unit", "meant_unit")), "near")
+    pairs = skew_join(asked, near, ["unit"], "inner").join(refs, "meant_unit").select("words", "ref_id", "canonical", "meant").distinct()
+    checked = pairs.repartition(parts).select("words", "ref_id", "canonical", closeness("words", "meant").alias("c")).filter("c.cost is not null")
+    best = checked.groupBy("words").agg(F.min(F.struct("c.cost", (-F.col("c.jaccard")).alias("unlike"), "ref_id", "canonical")).alias("b"))
     return raw.join(best, "words").select("value", "b.ref_id", "b.canonical")
 
 
-def mapped(targets: DataFrame, reference: DataFrame, key: str = "target_id", threshold: float = THRESHOLD) -> DataFrame:
+def mapped(targets: DataFrame, reference: DataFrame, key: str = "target_id") -> DataFrame:
     """(key, kind, value, ref_id, status) of every non-null field and label: status is exact, mapped or unmatched (ref_id null)."""
     out = None
     for kind, column in (("field", "pre_hz_field"), ("label", "pre_hz_label")):
         rows = staged(targets.select(key, F.col(column).alias("value")).dropna(subset=["value"]), f"values-{kind}")
-        found = staged(map_values(rows, reference.filter(F.col("kind") == kind), threshold), f"mapped-{kind}")
+        found = staged(map_values(rows, reference.filter(F.col("kind") == kind)), f"mapped-{kind}")
         status = F.when(F.col("ref_id").isNull(), "unmatched").when(F.col("value") == F.col("canonical"), "exact").otherwise("mapped")
         part = skew_join(rows, found, ["value"], "left").select(key, F.lit(kind).alias("kind"), "value", "ref_id", status.alias("status"))
         out = part if out is None else out.unionByName(part)

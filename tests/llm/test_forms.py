@@ -59,3 +59,27 @@ def test_join_finds_what_brute_force_finds(spark):
     got = {x["value"] for x in mapping.map_values(spark.createDataFrame([(v,) for v in values], "value string"), ref).collect()}
     want = {v for v in values if any(mapping.value_cost(mapping.words_of(v), mapping.words_of(t)) is not None for _, t in entries)}
     assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 300
+
+
+def test_join_finds_all_that_brute_force_finds(spark):
+    import random
+
+    r = random.Random(5)
+    letters = "abcdefghiklmnoprstu"
+    word = lambda: "".join(r.choices(letters, k=r.randint(3, 14)))
+    entries = [*enumerate(["organism", "preservation", "genetic background", "stupiondum duct", "cell type", "of age"]), *((k, " ".join(word() for _ in range(r.randint(1, 3)))) for k in range(10, 60))]
+
+    def slip(s):
+        i = r.randrange(1, max(2, len(s) - 1))
+        return r.choice([s[:i] + s[i + 1 :], s[:i] + r.choice(letters) + s[i:], s[:i] + r.choice(letters) + s[i + 1 :], s[: i - 1] + s[i : i + 1] + s[i - 1] + s[i + 1 :]])
+
+    def typed(s):
+        words = [r.choice([w, w[: r.randint(3, max(3, len(w)))], slip(w), slip(slip(w))]) for w in s.split()]
+        r.shuffle(words)
+        return r.choice([" ".join(words), "".join(words), " ".join([*words, "sample"]), slip(slip(s.replace(" ", ""))), "sample" + s.replace(" ", ""), s[:3] + " " + s[3:]])
+
+    values = sorted({"org", "pres", "gen bac", "stu duoct", *(typed(t) for _, t in entries for _ in range(20))})
+    ref = spark.createDataFrame([(k, t, []) for k, t in entries], "ref_id long, canonical string, aliases array<string>")
+    got = {x["value"] for x in mapping.map_values(spark.createDataFrame([(v,) for v in values], "value string"), ref).collect()}
+    want = {v for v in values if any(mapping.value_cost(mapping.words_of(v), mapping.words_of(t)) is not None for _, t in entries)}
+    assert got == want and {"org", "pres", "gen bac", "stu duoct"} <= got and len(want) > 500
