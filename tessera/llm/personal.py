@@ -84,6 +84,12 @@ _BEFORE_STREET = regex.compile(r"(?:lives? at|moved to|kept at|find them at|wohn
 _AFTER_STREET = regex.compile(r"[.]?(?:, \p{Lu}| in (?:\p{Lu}|\d{4})| à \p{Lu}| \(|\.|$| en \p{Lu})")
 
 
+def _parts(m) -> tuple[list[str], list[str]]:
+    """The given names of a match and its other words, in small letters."""
+    parts = [p for p in (m.groupdict().get("g") or "").lower().split("-") if p]
+    return parts, [w for w in regex.findall(r"[\p{L}'’]+", m.group().lower()) if len(w) > 2 and w not in parts]
+
+
 def votes_of(kind: str, text: str, m, given: frozenset, surnames: frozenset) -> list[int]:
     """The votes of the kind's labelers on a candidate: 1 for, -1 against, 0 no opinion."""
     a, b = m.span()
@@ -101,13 +107,13 @@ def votes_of(kind: str, text: str, m, given: frozenset, surnames: frozenset) ->
         year = regex.match(r"1[3-9]\d\d|20\d\d", found)
         return [1, 1 if _BEFORE_STREET.search(before) else 0, 1 if _AFTER_STREET.match(after) else 0, -1 if year else 0, -1 if regex.match(r" (?:in \p{Lu}\w+ )?(?:was|is|district|bridge)", after) else 0]
     groups = m.groupdict()
-    parts = [p for p in (groups.get("g") or "").lower().split("-") if p]
+    parts, others = _parts(m)
     words = [w for w in regex.findall(r"[\p{L}'’]+", found.lower()) if len(w) > 2]
     last = (regex.findall(r"[\p{L}'’]+", (groups.get("s") or found).lower()) or [""])[-1]
     thing = last in _THINGS or any(w in _THINGS for w in words) or (w := regex.match(r" (\p{Lu}\p{L}+)", after)) and w.group(1).lower() in _THINGS
     return [
         1 if any(p in given for p in parts) else 0 if not parts else -1,
-        1 if any(w in surnames for w in words if w not in parts) else 0,
+        1 if any(w in surnames for w in others) else 0,
         1 if _BEFORE_NAME.search(before) else 0,
         1 if _AFTER_NAME.match(after) else 0,
         -1 if thing or _SAINT.search(before) else 0,
@@ -116,21 +122,16 @@ def votes_of(kind: str, text: str, m, given: frozenset, surnames: frozenset) ->
 
 #: Quick searches for places where a full pattern is then tried.
 _WORD = re.compile(r"[^\W\d_]+")
-_INITIAL = re.compile(r"(?<![\w.])[^\W\d_]\. ?(?=[^\W\d_])")
-_CUE = re.compile(r"licen[cs]e holder |interview with |text by |photo ?: |photo by |foto(?: de|:) |kontakt: |contact: |author ?= ?|informant ?= ?|family of |my teacher |caretaker, |ask for |lol |\[\[user:[^|\]]*\|", re.I)
-_END_CUE = re.compile(r",? (?:lives at|wohnhaft|habite|vive en|got caught|is a liar|may be reached|and (?:(?:Prof|Dr|Ms|Mr|Mrs)\.? )?the keeper|\(SSN|\(ID no|\(passport|\(national ID|\(social sec|\(h(?:er|is) personal)")
+_INITIAL = regex.compile(r"(?<![\p{L}\p{N}.])\p{Lu}\. ?(?=\p{L})")
 _SIGN = re.compile(r"@|[\[({] ?at ?[\])}]| AT | at (?=[\w-]+ dot )")
 _DIGITS = re.compile(r"[+(]?\d[\d ().-]{6,}\d")
 _HOUSE = re.compile(r"\b\d{1,4}[a-zA-Z]?,? (?=[^\W\d_])")
 _GERMAN = re.compile(r"(?:straße|strasse|str\.|allee|weg|platz|gasse|ring|damm|ufer|markt|chaussee),? \d")
 _SPANISH = re.compile(r"\b(?:calle|c/|avenida|avda?\.|plaza|pl\.|paseo|camino|carrera|ronda) ", re.I)
-_REVERSED = regex.compile(rf"(?:{_SUR}|{_UPS}|{_LOW}), $")
-_ANY_NAME = regex.compile(rf"(?:{_SUR}, {_GIV}{_MORE}|(?:{_GIV}{_MORE}|(?:\p{{Lu}}\. ?)+)? ?{_SUR}|{_UP}(?:-{_UP})*{_MORE} {_UPS}|{_UPS}, {_UP}{_MORE})$")
+_PARTICLES = frozenset("van von der den de la los del della di da dos du le ter zu VAN VON DE LA DEL DER DA".split())
 
 
-#: Small-letter texts one of which every cue (every Spanish street) has; a text without them is not searched for cues.
-_CUE_PARTS = ("cense holder ", "licence holder ", "interview with ", "text by ", "photo", "foto", "kontakt: ", "contact: ", "author", "informant", "family of ", "my teacher ", "caretaker, ", "ask for ", "lol ", "[[user:")
-_END_PARTS = ("lives at", "wohnhaft", "habite", "vive en", "got caught", "is a liar", "may be reached", "the keeper", "(ssn", "(id no", "(passport", "(national id", "(social sec", " personal")
+#: Small-letter texts one of which every Spanish street has; a text without them is not searched for one.
 _SPANISH_PARTS = ("calle ", "c/ ", "avenida ", "avda", "avd.", "av.", "plaza ", "pl. ", "paseo ", "camino ", "carrera ", "ronda ")
 
 
@@ -146,10 +147,56 @@ def _windows(places, before: int, after: int, size: int) -> list[tuple[int, int]
     return out
 
 
-def _matches(kind: str, text: str, given: frozenset):
-    """(number of the pattern, match) of all candidates of a kind; the quick searches find every place a pattern can match."""
+def _given_starts(text: str, given: frozenset) -> set[int]:
+    """Where a name with a known given name can start: at it, at a part of its hyphen chain, at the surname and particles before it."""
+    starts = set()
+    for m in _WORD.finditer(text):
+        a = m.start()
+        low = m.group().lower()
+        if low not in given:
+            # the given name d'anna
+            if a < 2 or text[a - 1] not in "'’" or text[a - 2 : a].lower() + low not in given:
+                continue
+            a -= 2
+        chain = {a}
+        while a > 0 and (text[a - 1] in "-'’" or text[a - 1].isalpha()):
+            a -= 1
+            if text[a].isalpha() and not (a and text[a - 1].isalpha()):
+                chain.add(a)
+        starts |= chain
+        for g in chain:
+            if text[g - 2 : g] == ", ":
+                i = g - 2
+                while i > 0 and (text[i - 1] in "-'’" or text[i - 1].isalpha()):
+                    i -= 1
+                    if not (i and text[i - 1].isalpha()):
+                        starts.add(i)
+                while i > 1 and text[i - 1] == " ":
+                    j = i - 1
+                    while j > 0 and text[j - 1].isalpha():
+                        j -= 1
+                    if text[j : i - 1] not in _PARTICLES:
+                        break
+                    i = j
+                    starts.add(i)
+    return starts
+
+
+def _beside(text: str, m, surnames: frozenset) -> bool:
+    """Whether a name has two of: known surname, cue before, cue after."""
+    if not (after := bool(_AFTER_NAME.match(text[m.end() : m.end() + 40]))) and surnames.isdisjoint(_parts(m)[1]):
+        return False
+    return after and not surnames.isdisjoint(_parts(m)[1]) or bool(_BEFORE_NAME.search(text[max(0, m.start() - 60) : m.start()]))
+
+
+def _matches(kind: str, text: str, given: frozenset, surnames: frozenset):
+    """(number of the pattern, match) of all candidates of a kind; the quick searches find every place a pattern can match.
+
+    Names come at every place where the rule of ``candidates_of`` can hold: all with a known given name or initials, and
+    those that need neither as they have two of a known surname and the cues.
+    """
     n = len(text)
-    low = text.lower() if kind in ("name", "street_address") else ""
+    low = text.lower() if kind == "street_address" else ""
     if kind == "id_number":
         for m in _ID.finditer(text):
             yield 0, m
@@ -171,30 +218,15 @@ def _matches(kind: str, text: str, given: frozenset):
             for m in _STREET.finditer(text, x, y):
                 yield 0, m
     else:
-        starts = {m.end() for m in _CUE.finditer(text)} if any(p in low for p in _CUE_PARTS) else set()
-        for m in list(starts):
-            if t := regex.match(_TITLE, text[m : m + 30]):
-                starts.add(m + t.end())
-        for m in _END_CUE.finditer(text) if any(p in low for p in _END_PARTS) else ():
-            lo = max(0, m.start() - 70)
-            if found := _ANY_NAME.search(text, lo, m.start()):
-                starts.add(found.start())
-        for m in _WORD.finditer(text):
-            if m.group().lower() in given:
-                a = m.start()
-                while a > 1 and text[a - 1] == "-" and text[a - 2].isalpha():
-                    a -= 2
-                    while a > 0 and text[a - 1].isalpha():
-                        a -= 1
-                starts.add(a)
-                if text[a - 2 : a] == ", " and (r := _REVERSED.search(text, max(0, a - 60), a)):
-                    starts.add(r.start())
-        for m in _INITIAL.finditer(text):
-            starts.add(m.start())
+        starts = _given_starts(text, given) | {m.start() for m in _INITIAL.finditer(text)}
         for a in sorted(starts):
             for k, pattern in enumerate(_NAMES):
                 if m := pattern.match(text, a):
                     yield k, m
+        for k in (0, 3):
+            for m in _NAMES[k].finditer(text, overlapped=True):
+                if m.start() not in starts and _beside(text, m, surnames):
+                    yield k, m
 
 
 def candidates_of(text: str, given: frozenset, surnames: frozenset) -> list[tuple[str, int, int, str]]:
@@ -206,7 +238,7 @@ def candidates_of(text: str, given: frozenset, surnames: frozenset) -> list[tupl
     out = []
     for kind in KINDS:
         spans = []
-        for k, m in _matches(kind, text, given):
+        for k, m in _matches(kind, text, given, surnames):
             votes = votes_of(kind, text, m, given, surnames)
             if kind == "name":
                 beside = votes[1] + votes[2] + votes[3]

@@ -50,3 +50,19 @@ def test_reliabilities():
     wrong = sum(min(counts[v] - truth[v], counts[v]) if post[v] >= 0.5 else truth[v] for v in counts)
     majority = sum(counts[v] - truth[v] if sum(v) > 0 else truth[v] for v in counts)
     assert wrong < majority
+
+
+def test_names_come_from_everywhere():
+    given, surnames = frozenset({"maria", "helen", "d'anna"}), frozenset({"quimb", "fenzeda"})
+    texts = [f"{before}{name}{after}" for name in ("Zelda Quimb", "Zelda Korr", "ZELDA QUIMB", "Anna-Maria Korr", "van der Korr, Maria", "VAN KORR, MARIA", "von korr-berg, helen", "D'Anna Korr", "_J. R. Korr", "helen korr", "non-Maria Korr")
+             for before in ("| ", "x || ", "* ", "<!-- 617 555 ", "written by ", "Signed: ", "entretien avec Mme ", "The ", "") for after in ("", " || y", " -->", "!!", ", passport K1", ", 12 Street", ", mail@x.test", " resides here", " was born", " signed the lease")]
+    texts += ["\n".join(texts[:200])]
+    for text in texts:
+        got = {(k, m.span()) for k, m in personal._matches("name", text, given, surnames)}
+        for k, pattern in enumerate(personal._NAMES):
+            for m in [*pattern.finditer(text), *pattern.finditer(text, overlapped=True)]:
+                votes = personal.votes_of("name", text, m, given, surnames)
+                beside = votes[1] + votes[2] + votes[3]
+                if not (k == 1 and beside < 1 or k in (2, 4, 5, 6) and (votes[0] != 1 or beside < 1) or k in (0, 3) and votes[0] != 1 and beside < 2):
+                    assert (k, m.span()) in got, (text, k, m.group())
+    assert any(kind == "name" and (a, b) == (2, 13) for kind, a, b, _ in personal.candidates_of("| Zelda Quimb || y", given, surnames))
