@@ -124,7 +124,7 @@ def votes_of(kind: str, text: str, m, given: frozenset, surnames: frozenset) ->
 _WORD = re.compile(r"[^\W\d_]+")
 _INITIAL = regex.compile(r"(?<![\p{L}\p{N}.])\p{Lu}\. ?(?=\p{L})")
 _SIGN = re.compile(r"@|[\[({] ?at ?[\])}]| AT | at (?=[\w-]+ dot )")
-_DIGITS = re.compile(r"[+(]?\d[\d ().-]{6,}\d")
+_DIGITS = re.compile(r"[+(]|(?<!\d)\d")
 _HOUSE = re.compile(r"\b\d{1,4}[a-zA-Z]?,? (?=[^\W\d_])")
 _GERMAN = re.compile(r"(?:straße|strasse|str\.|allee|weg|platz|gasse|ring|damm|ufer|markt|chaussee),? \d")
 _SPANISH = re.compile(r"\b(?:calle|c/|avenida|avda?\.|plaza|pl\.|paseo|camino|carrera|ronda) ", re.I)
@@ -205,8 +205,10 @@ def _matches(kind: str, text: str, given: frozenset, surnames: frozenset):
             for m in _EMAIL.finditer(text, x, y):
                 yield 0, m
     elif kind == "phone":
-        for x, y in _windows([m.start() for m in _DIGITS.finditer(text)], 4, 40, n):
-            for m in _PHONE.finditer(text, x, y):
+        end = 0
+        for place in _DIGITS.finditer(text):
+            if place.start() >= end and (m := _PHONE.match(text, place.start())):
+                end = m.end()
                 yield 0, m
     elif kind == "street_address":
         for place in _HOUSE.finditer(text):

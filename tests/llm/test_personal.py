@@ -66,3 +66,12 @@ def test_names_come_from_everywhere():
                 if not (k == 1 and beside < 1 or k in (2, 4, 5, 6) and (votes[0] != 1 or beside < 1) or k in (0, 3) and votes[0] != 1 and beside < 2):
                     assert (k, m.span()) in got, (text, k, m.group())
     assert any(kind == "name" and (a, b) == (2, 13) for kind, a, b, _ in personal.candidates_of("| Zelda Quimb || y", given, surnames))
+
+
+def test_phones_come_from_everywhere():
+    r = random.Random(2)
+    texts = ["Ring 0221/1234567 or 0301/12345678.", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 (631) 555-0107, +49 (221) 12345 12345 12345 12345 12345", "+1 23"]
+    texts += ["".join(r.choices("0123456789 ()+-./,x", [4, *[2] * 9, 5, 1, 1, 1, 2, 2, 1, 1, 1], k=300)) for _ in range(300)]
+    for text in texts:
+        assert [m.span() for _, m in personal._matches("phone", text, frozenset(), frozenset())] == [m.span() for m in personal._PHONE.finditer(text)], text
+    assert [text[a:b] for text in texts[:1] for kind, a, b, _ in personal.candidates_of(text, frozenset(), frozenset()) if kind == "phone"] == ["0221/1234567", "0301/12345678"]
