@@ -9,6 +9,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from tessera.operators.skew import skew_join
 from tessera.session import staged
 
 KINDS = ("email", "id_number", "phone", "street_address", "name")
@@ -277,16 +278,49 @@ def _harvest(batches):
             yield pa.RecordBatch.from_arrays([pa.array(roles, pa.string()), pa.array(words, pa.string())], ["role", "word"])
 
 
-#: Names a gazetteer may have; beyond that the names seen least often are left to the other labelers.
+#: Names that are broadcast at most; with more, every text gets those of its own words by a join.
 MAX_NAMES = 200_000
 
 
-def gazetteer(documents: DataFrame, least: int = 3) -> tuple[frozenset, frozenset]:
-    """Given names and surnames seen at least ``least`` times in cued places of all texts; given ones also from the seed."""
+def gazetteer(documents: DataFrame, least: int = 3) -> DataFrame:
+    """(word, given) of the given names and surnames seen at least ``least`` times in cued places of all texts; given ones also from the seed.
+
+    A word is listed as the one it is seen as more often; a given name of the seed may be listed as a surname too.
+    """
     seen = documents.select("text").mapInArrow(_harvest, "role string, word string").groupBy("role", "word").agg(F.count("*").alias("n"))
     both = seen.groupBy("word").agg(F.sum(F.when(F.col("role") == "given", F.col("n")).otherwise(0)).alias("g"), F.sum(F.when(F.col("role") == "surname", F.col("n")).otherwise(0)).alias("s"))
-    rows = both.filter(F.greatest("g", "s") >= least).orderBy(F.desc(F.greatest("g", "s")), "word").limit(MAX_NAMES).collect()
-    return frozenset(GIVEN) | {r["word"] for r in rows if r["g"] > r["s"]}, frozenset(r["word"] for r in rows if r["s"] > r["g"])
+    names = both.filter((F.greatest("g", "s") >= least) & (F.col("g") != F.col("s"))).select("word", (F.col("g") > F.col("s")).alias("given"))
+    seed = documents.sparkSession.createDataFrame([(w, True) for w in GIVEN], "word string, given boolean")
+    return staged(names.unionByName(seed).distinct(), "gazetteer")
+
+
+def _lookups(text: str) -> set[str]:
+    """All small-letter words of a text that may be looked up in a gazetteer."""
+    out = set()
+    for run in set(regex.findall(r"[\p{L}'’]+", text)) | set(_WORD.findall(text)):
+        pieces = regex.split(r"(['’])", run)
+        for i in range(len(pieces)):
+            for j in range(i + 1, len(pieces) + 1):
+                low = "".join(pieces[i:j]).lower()
+                out.add(low)
+                out.update(regex.findall(r"[\p{L}'’]+", low))
+    return out
+
+
+def _with_names(documents: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """(key, text, given, surnames): every row with the names of the gazetteer among its words, null where there are none."""
+
+    def words(batches):
+        for batch in batches:
+            rows = [(i, w) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if text for w in _lookups(text)]
+            if rows:
+                ids, found = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], ["row", "word"])
+
+    rows = staged(documents.select(key, "text").withColumn("row", F.monotonically_increasing_id()), "texts")
+    looked_up = staged(rows.select("row", "text").mapInArrow(words, "row long, word string"), "text-words")
+    own = skew_join(looked_up, names, ["word"]).groupBy("row").agg(F.collect_set(F.when(F.col("given"), F.col("word"))).alias("given"), F.collect_set(F.when(~F.col("given"), F.col("word"))).alias("surnames"))
+    return rows.join(own, "row", "left").select(key, "text", "given", "surnames")
 
 
 def reliabilities(patterns: dict[tuple[int, ...], int], rounds: int = 50) -> dict[tuple[int, ...], float]:
@@ -362,15 +396,20 @@ def spans(documents: DataFrame, key: str = "doc_id", threshold: float = 0.5) ->
     KINDS stays. Null and empty texts give nothing; whole texts of any length are read; repeated rows give their spans again.
     """
     spark = documents.sparkSession
-    given, surnames = gazetteer(documents)
-    names = spark.sparkContext.broadcast((given, surnames))
+    known = gazetteer(documents)
     kind_of = dict(documents.dtypes)[key]
+    if known.count() <= MAX_NAMES:
+        rows = known.collect()
+        names = spark.sparkContext.broadcast((frozenset(r["word"] for r in rows if r["given"]), frozenset(r["word"] for r in rows if not r["given"])))
+        texts = documents.select(key, "text")
+    else:
+        names, texts = None, _with_names(documents, known, key)
 
     def find(batches):
-        g, s = names.value
         for batch in batches:
             at, rows = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            own = [names.value] * len(batch) if names else [(frozenset(g or ()), frozenset(s or ())) for g, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            for i, (text, (g, s)) in enumerate(zip(batch.column(1).to_pylist(), own)):
                 for kind, a, b, votes in candidates_of(text, g, s) if text else ():
                     at.append(i)
                     rows.append((kind, a, b, text[a:b], votes))
@@ -378,13 +417,13 @@ def spans(documents: DataFrame, key: str = "doc_id", threshold: float = 0.5) ->
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *cols], [key, "kind", "start", "stop", "found_text", "votes"])
 
-    found = staged(documents.select(key, "text").mapInArrow(find, f"{key} {kind_of}, kind string, start int, stop int, found_text string, votes string"), "candidates")
+    found = staged(texts.mapInArrow(find, f"{key} {kind_of}, kind string, start int, stop int, found_text string, votes string"), "candidates")
     counts: dict[str, dict[str, int]] = {k: {} for k in KINDS}
     for r in found.groupBy("kind", "votes").count().collect():
         counts[r["kind"]][r["votes"]] = r["count"]
     chances = [(k, v, p) for k in KINDS for v, p in span_classifier(counts[k]).items()]
-    table = F.broadcast(spark.createDataFrame(chances, "kind string, votes string, chance double"))
-    kept = found.join(table, ["kind", "votes"]).filter(F.col("chance") >= threshold)
+    decided = F.broadcast(spark.createDataFrame(chances, "kind string, votes string, chance double"))
+    kept = found.join(decided, ["kind", "votes"]).filter(F.col("chance") >= threshold)
 
     @F.pandas_udf("array<struct<kind: string, start: int, stop: int, found_text: string>>")
     def apart(groups):

@@ -75,3 +75,15 @@ def test_phones_come_from_everywhere():
     for text in texts:
         assert [m.span() for _, m in personal._matches("phone", text, frozenset(), frozenset())] == [m.span() for m in personal._PHONE.finditer(text)], text
     assert [text[a:b] for text in texts[:1] for kind, a, b, _ in personal.candidates_of(text, frozenset(), frozenset()) if kind == "phone"] == ["0221/1234567", "0301/12345678"]
+
+
+def test_names_beyond_the_broadcast_bound(spark, monkeypatch):
+    texts = [*TEXTS, "Text by Zelda Quimb.", "Interview with Zelda Quimb, born", "Zelda Quimb lives at 3 Low Road.", "Zelda Korr was here. L'Quimb 'Zelda Quimb' O’Quimb", "The vale of Zelda Quimb", "D'Anna Korr"]
+    df = spark.createDataFrame([(k % len(texts), texts[k % len(texts)]) for k in range(3 * len(texts))], "doc_id long, text string")
+    listed = {tuple(r) for r in personal.gazetteer(df).collect()}
+    assert {("zelda", True), ("quimb", False)} <= listed
+    want = sorted(map(tuple, personal.spans(df).collect()))
+    monkeypatch.setattr(personal, "MAX_NAMES", 1)
+    assert sorted(map(tuple, personal.spans(df).collect())) == want
+    assert {tuple(r) for r in personal.gazetteer(df).collect()} == listed
+    assert any(found == "Zelda Quimb" for *_, found in want)
