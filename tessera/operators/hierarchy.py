@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.operators.skew import skew_join
+from tessera.operators.skew import running_sum, skew_join
 from tessera.session import staged
 
 #: One node in so many is a splitter, so that a walk to the next one is short and the reduced graph small.
@@ -45,7 +45,7 @@ def _jumped(nodes: DataFrame, paths: bool, name: str) -> tuple[DataFrame, DataFr
         for part in done:
             known = known.unionByName(part)
         to = known.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("dist").alias("dist2"), F.col("final").alias("final2"), *([F.col("seg").alias("seg2")] if paths else []))
-        moved = skew_join(active.drop("final"), to, ["ptr"]).select(
+        moved = skew_join(active.drop("final"), to, ["ptr"], wide=paths).select(
             "id", F.col("ptr2").alias("ptr"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("final2").alias("final"), *([F.concat("seg", "seg2").alias("seg")] if paths else []))
         moved = staged(moved, name)
         done.append(moved.filter("final"))
@@ -70,6 +70,7 @@ def hierarchy(links: DataFrame, paths: bool = True) -> DataFrame:
     splitter; the splitters alone form a reduced graph, which is solved in the same way down to the roots; a node's path
     is its walk followed by its splitter's path. Cycles without a splitter never end their walk, cycles of splitters
     never reach a root: both come out as endless. A third of all nodes below one parent is no hot spot (skew_join).
+    Tables with paths are only shuffled, never broadcast: their size on disk does not tell their size in memory.
     An empty input gives an empty result; ids are unique and not null.
     """
     seg = [F.array("id").alias("seg")] if paths else []
@@ -90,16 +91,30 @@ def hierarchy(links: DataFrame, paths: bool = True) -> DataFrame:
 
     to = tops.select(F.col("id").alias("ptr"), "root", F.col("depth").alias("above"), *([F.col("seg").alias("seg2")] if paths else []))
     plain = walked.join(links.filter("not is_split").select("id"), "id", "left_semi")
-    below = skew_join(plain, to, ["ptr"]).select("id", "root", (F.col("dist") + F.col("above")).alias("depth"), *([F.concat("seg", "seg2").alias("seg")] if paths else []))
+    below = skew_join(plain, to, ["ptr"], wide=paths).select("id", "root", (F.col("dist") + F.col("above")).alias("depth"), *([F.concat("seg", "seg2").alias("seg")] if paths else []))
     good = tops.unionByName(below)
-    out = links.select("id").join(good, "id", "left").select("id", F.coalesce("root", F.lit("")).alias("root"), F.coalesce(F.col("depth").cast("int"), F.lit(-1)).alias("depth"), *(["seg"] if paths else []))
+    out = links.select("id").join(good.hint("merge") if paths else good, "id", "left").select("id", F.coalesce("root", F.lit("")).alias("root"), F.coalesce(F.col("depth").cast("int"), F.lit(-1)).alias("depth"), *(["seg"] if paths else []))
     if not paths:
         return out
     whole = F.when(F.col("depth") >= 0, F.concat(F.array("root"), F.reverse("seg"))).otherwise(empty)
     return out.select("id", "root", "depth", F.when(F.col("depth") == 0, F.array("id")).otherwise(whole).alias("path"))
 
 
+def subtrees(found: DataFrame, partitions: int | None = None) -> DataFrame:
+    """(id, root, depth, first, last): every node that reaches a root with its place in a walk of all trees, and the last place below it.
+
+    The descendants of a node are the nodes with ``first < place <= last``, where a node's place is its own ``first``: one
+    row per node instead of one per pair. Places follow the paths' order, found by a range sort with one sum per range on
+    the driver; sizes are counted along the paths and added up before they are shuffled.
+    """
+    partitions = partitions or int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    good = staged(found.filter("depth >= 0").withColumn("one", F.lit(1).cast("long")), "good")
+    placed = running_sum(good, ["path"], "one", "first", partitions, lambda x: staged(x, "placed")).select("id", "root", "depth", "first")
+    below = good.filter("depth > 0").select(F.explode(F.slice("path", F.lit(1), F.col("depth"))).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    return placed.join(below, "id", "left").select("id", "root", "depth", "first", (F.col("first") + F.coalesce("n", F.lit(0))).alias("last"))
+
+
 def descendants(found: DataFrame) -> DataFrame:
-    """(ancestor, descendant, distance) of every pair on a path, nodes themselves left out; as many rows as the depths' sum."""
+    """(ancestor, descendant, distance) of every pair on a path, nodes themselves left out; as many rows as the depths' sum (``subtrees`` has one row per node)."""
     pairs = found.filter("depth > 0").select("id", "depth", F.posexplode("path").alias("level", "ancestor"))
     return pairs.filter("level < depth").select("ancestor", F.col("id").alias("descendant"), (F.col("depth") - F.col("level")).alias("distance"))

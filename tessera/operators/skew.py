@@ -10,24 +10,32 @@ HOT_ROWS = 100_000
 HOT_SHARE = 256
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", wide: bool = False) -> DataFrame:
     """Join ``left``, in which single keys may hold a third of all rows, with a ``right`` of few rows per key.
 
-    Rows of hot keys meet their right rows by broadcast: by count there are at most HOT_SHARE hot keys, which bounds it.
-    All others are shuffled. ``left`` is scanned up to three times, so stage it if it is costly. Null keys never match
-    (``inner``) or are kept (``left``).
+    Rows of a hot key are dealt by a hash of the whole row to as many pieces as the key has portions of HOT_ROWS or a
+    HOT_SHARE-th of all rows; its right rows are given to each piece, and everything is shuffled. Only the hot keys
+    themselves are collected and broadcast: at most HOT_SHARE of them, as each holds that share of the rows. ``wide``
+    says that right rows are large in memory beside their size on disk (arrays): then no side is ever broadcast.
+    ``left`` is scanned up to three times, so stage it if it is costly. Null keys never match (``inner``) or are kept (``left``).
     """
+    partner = right.hint("merge") if wide else right
     total = left.count()
     if total < HOT_ROWS:
-        return left.join(right, on, how)
-    hot = left.groupBy(*on).count().filter(F.col("count") >= max(HOT_ROWS, total // HOT_SHARE)).select(*on)
-    keys = hot.collect()
+        return left.join(partner, on, how)
+    portion = max(HOT_ROWS, total // HOT_SHARE)
+    counted = left.groupBy(*on).agg(F.ceil(F.count("*") / portion).cast("int").alias("_pieces"), F.count("*").alias("_n"))
+    found = counted.filter(F.col("_n") >= portion).drop("_n").dropna(subset=on)
+    keys = found.collect()
     if not keys:
-        return left.join(right, on, how)
-    hot = F.broadcast(left.sparkSession.createDataFrame(keys, hot.schema).dropna())
-    by_broadcast = left.join(hot, on, "left_semi").join(F.broadcast(right.join(hot, on, "left_semi")), on, how)
-    shuffled = left.join(hot, on, "left_anti").join(right, on, how)
-    return by_broadcast.unionByName(shuffled)
+        return left.join(partner, on, how)
+    hot = F.broadcast(left.sparkSession.createDataFrame(keys, found.schema))
+    hashed = [c for c, t in left.dtypes if "map<" not in t]
+    dealt = left.join(hot, on).withColumn("_piece", F.pmod(F.xxhash64(*hashed), F.col("_pieces")).cast("int")).drop("_pieces")
+    given = right.join(hot, on).withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1))).drop("_pieces")
+    split = dealt.join(given.hint("merge") if wide else given, [*on, "_piece"], how).drop("_piece")
+    shuffled = left.join(hot, on, "left_anti").join(partner, on, how)
+    return split.unionByName(shuffled)
 
 
 def running_sum(df: DataFrame, order: list, value: str, out: str, partitions: int, stage) -> DataFrame:

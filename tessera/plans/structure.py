@@ -59,6 +59,11 @@ def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.hierarchy(_links(spark, d)))
 
 
+def p6_subtrees(spark: SparkSession, d: str) -> DataFrame:
+    found = hierarchy.subtrees(hierarchy.hierarchy(_links(spark, d)))
+    return found.select(F.col("id").alias("term_key"), "depth", "first", "last")
+
+
 _TREE = """
 with recursive names as (
   select distinct ontology_id, lookup_key, term_key as parent from lookup_entries where index_name in ('id', 'accession', 'iri')),
@@ -104,7 +109,7 @@ parsed as (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_wide, p3_wide_latest, p4_found, p4_series, p4_organisms, p4_characteristics, p6_found, p6_paths, p6_descendants)}
+    return {f.__name__: f for f in (p3_found, p3_wide, p3_wide_latest, p4_found, p4_series, p4_organisms, p4_characteristics, p6_found, p6_paths, p6_descendants, p6_subtrees)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -120,6 +125,10 @@ select subject, column_name, cell from (
   from parsed group by 1, 2) where cell is not null""",
         "p6_found": _TREE + "select m.term_key, coalesce(t.root, '') as root_term_key, coalesce(t.depth, -1) as depth from terms m left join tree t on t.id = m.term_key",
         "p6_paths": _TREE + "select m.term_key, coalesce(t.root, '') as root_term_key, coalesce(t.depth, -1) as depth, coalesce(t.path, '') as path from terms m left join tree t on t.id = m.term_key",
+        "p6_subtrees": _TREE + """
+, placed as (select id, depth, row_number() over (order by string_split(path, '/')) as first from tree),
+sizes as (select split_part(t.path, '/', cast(g.i as int) + 1) as id, count(*) as n from tree t, unnest(range(t.depth)) as g(i) group by 1)
+select p.id as term_key, p.depth, p.first, p.first + coalesce(s.n, 0) as last from placed p left join sizes s using (id)""",
         "p6_descendants": _TREE + """
 select split_part(t.path, '/', cast(g.i as int) + 1) as ancestor, t.id as descendant, cast(t.depth - g.i as int) as distance
 from tree t, unnest(range(t.depth)) as g(i) where t.depth > 0""",

@@ -7,6 +7,14 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
+@pytest.fixture(autouse=True)
+def small_portions(monkeypatch):
+    """Keys of few rows count as hot, so that all tests take the way of hot keys where there are some."""
+    from tessera.operators import skew
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 20)
+
+
 @pytest.fixture(scope="session")
 def spark():
     s = (SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")

@@ -122,6 +122,8 @@ def test_hierarchy_random(spark):
     assert {x["id"]: (x["root"], x["depth"], x["path"]) for x in got.collect()} == want
     down = {tuple(x) for x in hierarchy.descendants(got).collect()}
     assert down == {(a, n, len(p) - 1 - i) for n, (_, _, p) in want.items() for i, a in enumerate(p[:-1])}
+    places = {x["id"]: (x["first"], x["last"]) for x in hierarchy.subtrees(got).collect()}
+    assert {(a, b) for a, (x, y) in places.items() for b, (z, _) in places.items() if x < z <= y} == {(a, n) for a, n, _ in down}
 
 
 def test_hierarchy_links(spark):
