@@ -7,14 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tessera.functions.keys import collapse
 
 
-def as_text(value: Column, kind: str) -> Column:
-    """A description that is a text, a list of texts (joined by a space) or null, from its JSON."""
-    if kind != "json":
-        return value
-    items = F.from_json(value, "array<string>")
-    return F.when(F.startswith(value, F.lit("[")), F.array_join(items, " ")).otherwise(value)
-
-
 def index_text(title: Column, synonyms: Column, description: Column, identifiers: Column) -> Column:
     """The searchable columns of a term as a struct; missing parts are empty."""
     empty = lambda c: F.coalesce(c, F.lit(""))

@@ -132,18 +132,39 @@ def triples_of(text: str | None) -> list[tuple[str, str, str | None]]:
 
 
 _CHANNEL = re.compile(r"(/sample(?:/([0-9]+))?/channel(?:/([0-9]+))?)/(organism|characteristics)(?=/|$)")
+_PLACE = re.compile(r"/sample(?:/([0-9]+))?(/channel(?:/([0-9]+))?)?")
 _SERIES = re.compile(r"/series(?:/[0-9]+)?")
 _PACKAGE = re.compile(r"/([0-9]+)")
-#: The scalar members that become columns, by entity.
-LEAVES = {"series": ("accession", "title"), "organism": ("value", "taxid"), "characteristic": ("tag", "value", "unit")}
 _SCALAR = ("string", "number", "boolean")
-ITEM_COLUMNS = "entity string, item_path string, package int, package_path string, sample int, channel int, parent_path string, ordinal int, accession string, title string, tag string, value string, unit string, taxid string"
+#: The tables with a name of their own; every other group of objects is the table of its path without list indices.
+ENTITIES = ("package", "series", "sample", "channel", "organism", "characteristic")
+ITEM_COLUMNS = "entity string, item_path string, package int, package_path string, sample int, channel int, parent_path string, ordinal int, cells map<string,string>"
 
 
-def items_of(text: str | None) -> Iterator[tuple]:
-    """The rows of the flat tables of one metadata text, in the order of ITEM_COLUMNS.
+def _entity(path: str, rest: str, package_path: str, kinds: dict, leaves: dict) -> str | None:
+    """The named table of an object, or None."""
+    if rest == "":
+        return "package"
+    if _SERIES.fullmatch(rest) and (rest == "/series" or kinds[f"{package_path}/series"] == "array"):
+        return "series"
+    if m := _PLACE.fullmatch(rest):
+        if m.group(2):
+            return "channel" if m.group(3) is None or kinds[path.rpartition("/")[0]] == "array" else None
+        return "sample" if m.group(1) is None or kinds[path.rpartition("/")[0]] == "array" else None
+    if m := _CHANNEL.match(rest):
+        below = rest[m.end() :]
+        if m.group(4) == "organism":
+            one = re.fullmatch(r"(/[0-9]+)?", below) and (not below or kinds[path.rpartition("/")[0]] == "array")
+            return "organism" if "value" in leaves and one else None
+        return "characteristic" if "tag" in leaves and "value" in leaves else None
+    return None
 
-    Triples are grouped by the object that holds them (their repeated ancestor) and each group is pivoted into a row.
+
+def items_of(text: str | None, entities: frozenset | None = None) -> Iterator[tuple]:
+    """The rows of the flat tables of one metadata text, in the order of ITEM_COLUMNS; only those of ``entities`` if given.
+
+    Triples are grouped by the object that holds them (their repeated ancestor) and each group is pivoted into a row of
+    the table of all objects at that path, list indices left out. A scalar in a list is a row with one cell of the empty name.
     """
     triples = triples_of(text)
     if not triples:
@@ -154,50 +175,56 @@ def items_of(text: str | None) -> Iterator[tuple]:
     for ordinal, (path, kind, value) in enumerate(triples):
         if kind == "object":
             groups[path], order[path] = {}, ordinal
-        elif kind in _SCALAR and path:
+        elif kind in _SCALAR:
             above, _, leaf = path.rpartition("/")
-            if above in groups:
-                groups[above][leaf] = value
+            if path and kinds[above] == "object":
+                groups[above][leaf.replace("~1", "/").replace("~0", "~")] = value
+            else:
+                groups[path], order[path] = {"": value}, ordinal
+    many = kinds[""] == "array"
     for path, leaves in groups.items():
         package, package_path, rest = None, "", path
-        if kinds[""] == "array":
+        if many:
             m = _PACKAGE.match(path)
-            if not m:
-                continue
             package, package_path, rest = int(m.group(1)), m.group(), path[m.end() :]
-        sample = channel = None
-        if _SERIES.fullmatch(rest) and (rest == "/series" or kinds[f"{package_path}/series"] == "array"):
-            entity, parent = "series", package_path
-        elif m := _CHANNEL.match(rest):
-            sample, channel = (None if x is None else int(x) for x in m.group(2, 3))
-            below, parent = rest[m.end() :], path.rpartition("/")[0]
-            if m.group(4) == "organism":
-                entity = "organism"
-                if "value" not in leaves or not re.fullmatch(r"(/[0-9]+)?", below):
-                    continue
-                if below and kinds[parent] != "array":
-                    continue
-                parent = package_path + m.group(1)
-            else:
-                entity = "characteristic"
-                if "tag" not in leaves or "value" not in leaves:
-                    continue
-        else:
+        entity = _entity(path, rest, package_path, kinds, leaves) if kinds[path] == "object" else None
+        if entity is None:
+            if entities is not None:
+                continue
+            at, names = package_path, []
+            for part in rest.split("/")[1:]:
+                if kinds[at] != "array":
+                    names.append(part)
+                at = f"{at}/{part}"
+            entity = "/" + "/".join(names)
+        if entities is not None and entity not in entities:
             continue
-        cells = {k: leaves.get(k) for k in LEAVES[entity]}
-        yield (entity, path, package, package_path, sample, channel, parent, order[path], cells.get("accession"), cells.get("title"), cells.get("tag"), cells.get("value"), cells.get("unit"), cells.get("taxid"))
+        m = _PLACE.match(rest)
+        sample, channel = (None if x is None else int(x) for x in m.group(1, 3)) if m else (None, None)
+        if entity == "characteristic":
+            parent = path.rpartition("/")[0]
+        elif path == package_path:
+            parent = ""
+        else:
+            parent = path.rpartition("/")[0]
+            while parent != package_path and kinds[parent] != "object":
+                parent = parent.rpartition("/")[0]
+        yield entity, path, package, package_path, sample, channel, parent, order[path], list(leaves.items())
 
 
-def flat_items(records: DataFrame, key: str = "record_id", text: str = "metadata") -> DataFrame:
-    """All series, organisms and characteristics of the records, with their place: one pass over the texts, no shuffle.
+def flat_items(records: DataFrame, key: str = "record_id", text: str = "metadata", entities: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows of all flat tables of the records, with their place and cells: one pass over the texts, no shuffle.
 
-    ``item_path`` is the pointer of the row's object, ``parent_path`` that of its series' package, its organism's channel
-    or its characteristic's container. A record whose text is null, empty or not whole JSON gives no rows; a repeated
-    record gives its rows again. Other columns of the input play no part.
+    ``item_path`` is the pointer of the row's object, ``parent_path`` that of the object around it (of a characteristic: of the
+    list or object that holds it); no scalar is lost: each is a cell of exactly one row. A record whose text is null, empty
+    or not whole JSON gives no rows; a repeated record gives its rows again. Other columns of the input play no part.
+    ``entities`` limits the tables that are made.
     """
     schema = f"{key} {dict(records.dtypes)[key]}, {ITEM_COLUMNS}"
-    names = [key] + [c.strip().split(" ")[0] for c in ITEM_COLUMNS.split(",")]
-    kinds = [pa.string() if c.strip().endswith("string") else pa.int32() for c in ITEM_COLUMNS.split(",")]
+    names = [key] + [c.strip().split(" ")[0] for c in ITEM_COLUMNS.split(", ")]
+    types = {"string": pa.string(), "int": pa.int32(), "map<string,string>": pa.map_(pa.string(), pa.string())}
+    kinds = [types[c.strip().split(" ")[1]] for c in ITEM_COLUMNS.split(", ")]
+    only = frozenset(entities) if entities is not None else None
 
     def shred(batches):
         for batch in batches:
@@ -210,7 +237,7 @@ def flat_items(records: DataFrame, key: str = "record_id", text: str = "metadata
                 return pa.RecordBatch.from_arrays(arrays, names)
 
             for i, value in enumerate(batch.column(1)):
-                for row in items_of(value.as_py()):
+                for row in items_of(value.as_py(), only):
                     rows.append(row)
                     at.append(i)
                 if len(rows) >= 20_000:
@@ -223,8 +250,28 @@ def flat_items(records: DataFrame, key: str = "record_id", text: str = "metadata
     return records.select(key, text).mapInArrow(shred, schema)
 
 
-def flat_table(items: DataFrame, entity: str) -> DataFrame:
-    """One of the three flat tables: its key, place and own columns."""
-    place = ["package", "package_path"] + ([] if entity == "series" else ["sample", "channel"]) + ["parent_path"]
+def members(items: DataFrame, entity: str, limit: int = 5000) -> list[str]:
+    """The names of all cells of a table, sorted; more than ``limit`` are an error: a flat table of them would not be one."""
+    names = items.filter(F.col("entity") == entity).select(F.explode(F.map_keys("cells")).alias("name")).distinct().limit(limit + 1)
+    found = sorted(r["name"] for r in names.collect())
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} members in {entity}")
+    return found
+
+
+def flat_table(items: DataFrame, entity: str, columns: list[str] | None = None) -> DataFrame:
+    """One of the flat tables: its key, place and one text column per member (all ``members`` if ``columns`` is not given).
+
+    A member named like a place column, or like another member in other case, gets ``_2``, ``_3``, ... added.
+    """
     key = items.columns[0]
-    return items.filter(F.col("entity") == entity).select(key, "item_path", *place, *LEAVES[entity])
+    place = [key, "item_path", *[c for c in ("package", "package_path", "sample", "channel") if entity in ENTITIES[3:] or c[:7] == "package" or (entity == "sample" and c == "sample")], "parent_path"]
+    used, cells = {c.lower() for c in place}, []
+    for name in members(items, entity) if columns is None else columns:
+        out, n = name or "value", 1
+        while out.lower() in used:
+            n += 1
+            out = f"{name or 'value'}_{n}"
+        used.add(out.lower())
+        cells.append(F.col("cells")[F.lit(name)].alias(out))
+    return items.filter(F.col("entity") == entity).select(*place, *cells)

@@ -16,7 +16,8 @@ def balanced_pool(hits: DataFrame, thresholds: DataFrame | None = None, default:
         hits = hits.join(thresholds.select("ontology_id", "threshold"), "ontology_id", "left")
     else:
         hits = hits.withColumn("threshold", F.lit(None).cast("double"))
-    kept = hits.filter((F.col("score") >= F.coalesce("threshold", F.lit(default))) & ~F.isnan("score")).drop("threshold")
+    finite = ~F.isnan("score") & (F.abs("score") != float("inf"))
+    kept = hits.filter((F.col("score") >= F.coalesce("threshold", F.lit(default))) & finite).drop("threshold")
     by_score = [F.desc("score"), F.col("position")]
     kept = kept.withColumn("_i", F.row_number().over(Window.partitionBy("query_id", "ontology_id", "identity").orderBy(*by_score))).filter("_i = 1").drop("_i")
     kept = kept.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "ontology_id").orderBy(*by_score)) <= reserved)

@@ -57,16 +57,19 @@ def _tags(x: object, path: str):
             yield from _tags(v, f"{path}/{k}")
 
 
-def _containers(x: object, path: str, field: str):
+def _containers(x: object, path: str, field: str, start: str):
+    """Values of objects below ``start``, which names the field; nothing is taken below an object whose value was taken."""
     if isinstance(x, dict):
         if _scalar(x.get("value")):
-            yield field, x["value"], f"{path}/value", f"{path}/value", path
+            yield field, x["value"], start, f"{path}/value", path
+            return
         for k, v in x.items():
             if isinstance(v, (dict, list)):
-                yield from _containers(v, f"{path}/{escape(str(k))}", field)
+                yield from _containers(v, f"{path}/{escape(str(k))}", field, start)
     elif isinstance(x, list):
         for k, v in enumerate(x):
-            yield from _containers(v, f"{path}/{k}", field)
+            if isinstance(v, (dict, list)):
+                yield from _containers(v, f"{path}/{k}", field, start)
 
 
 def _leaves(x: object, path: str):
@@ -100,7 +103,7 @@ def extracted(document: object, specs: list | None = None) -> list[tuple]:
     """(field, label, field path, label path, parent path) in visit order; unknown modes and missing paths give nothing.
 
     Modes: field_value (the scalar at the path), tag_value (tag and value pairs, not below a pair), container_value (values of
-    objects, named by the path), scalar (all scalar members below; also where a spec has no mode).
+    objects, not below one that has a value, named by the path of the container), scalar (all scalar members below; also where a spec has no mode).
     """
     out: list[tuple] = []
     for spec in default_specs(document) if specs is None else specs:
@@ -113,7 +116,7 @@ def extracted(document: object, specs: list | None = None) -> list[tuple]:
         elif mode == "tag_value":
             out += _tags(x, path)
         elif mode == "container_value":
-            out += _containers(x, path, _name(path))
+            out += _containers(x, path, _name(path), path)
         elif mode in ("scalar", None):
             out += _leaves(x, path)
     return out
@@ -123,7 +126,10 @@ TARGET = "id string, source string, pre_hz_field string, pre_hz_label string, pr
 
 
 def extract_targets(records: DataFrame, key: str = "record_id", text: str = "metadata", specs: list | None = None) -> DataFrame:
-    """One row per target of every document, ids ``target-0``, ... in visit order; texts that are not JSON give none."""
+    """One row per target of every document, ids ``target-0``, ... in visit order; texts that are not JSON give none.
+
+    Values that are no text come as Python writes them (``True``, ``1.5``). A document's targets are bounded by the document.
+    """
     names = [key] + [c.split()[0] for c in TARGET.split(", ")]
 
     def run(batches):
@@ -135,9 +141,8 @@ def extract_targets(records: DataFrame, key: str = "record_id", text: str = "met
                 except (ValueError, RecursionError):
                     continue
                 for n, (field, label, fp, lp, pp) in enumerate(extracted(document, specs)):
-                    as_text = lambda x: x if isinstance(x, str) else json.dumps(x)
                     at.append(i)
-                    rows.append((f"target-{n}", "metadata", as_text(field), as_text(label), fp, lp, pp, n))
+                    rows.append((f"target-{n}", "metadata", str(field), str(label), fp, lp, pp, n))
             if rows:
                 cols = [pa.array(c, pa.int32() if k == 7 else pa.string()) for k, c in enumerate(zip(*rows))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *cols], names)
@@ -202,20 +207,29 @@ def free_ids(reserved: DataFrame, wanted: DataFrame, document: str = "record_id"
 def context_text(items: DataFrame, document: str = "record_id", limit: int = 500) -> DataFrame:
     """(document, context): ``Study: T | f=l; f=l`` of at most ``limit`` characters.
 
-    items: document, title, pre_hz_field, pre_hz_label, ordinal. Entries are collapsed, distinct and in order; the text ends
-    before an entry that would not fit, unless nothing is there yet: then that is cut and gets an ellipsis.
+    items: document, title, pre_hz_field, pre_hz_label, ordinal; a document without targets needs a row with null field and
+    label to get its title. Entries are collapsed, in order, once per field and label, none without both. A title that does not
+    fit is cut, blanks at its end removed and an ellipsis put, and nothing follows. The text ends before an entry that does
+    not fit beside the others; one that is longer than ``limit`` by itself is cut to what is left. Null where there is nothing.
     """
-    entry = F.concat(collapse(F.col("pre_hz_field")), F.lit("="), collapse(F.col("pre_hz_label")))
-    first = items.select(document, "title", "ordinal", entry.alias("e")).groupBy(document, "e").agg(F.min("ordinal").alias("o"), F.min("title").alias("title"))
-    lists = first.groupBy(document).agg(F.min("title").alias("title"), F.array_sort(F.collect_list(F.struct("o", "e"))).alias("es"))
-    cut = lambda x: F.when(F.length(x) > limit, F.concat(F.substring(x, 1, limit - 1), F.lit("…"))).otherwise(x)
-    title = collapse(F.col("title"))
-    start = F.struct(F.when(F.coalesce(F.length(title), F.lit(0)) > 0, cut(F.concat(F.lit("Study: "), title))).otherwise(F.lit("")).alias("t"), F.lit(0).alias("n"), F.lit(False).alias("full"))
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
+    field, label = collapse(F.col("pre_hz_field")), collapse(F.col("pre_hz_label"))
+    named = items.select(document, collapse(F.col("title")).alias("title"), F.when((field != "") & (label != ""), F.struct(field.alias("f"), label.alias("l"))).alias("fl"), "ordinal")
+    first = named.groupBy(document, "fl").agg(F.min("ordinal").alias("o"), F.min("title").alias("title"))
+    entry = F.when(F.col("fl").isNotNull(), F.struct("o", F.concat("fl.f", F.lit("="), "fl.l").alias("e")))
+    lists = first.groupBy(document).agg(F.min("title").alias("title"), F.array_sort(F.collect_list(entry)).alias("es"))
+    shortened = lambda x, n: F.concat(F.rtrim(F.substring(x, F.lit(1), n)), F.lit("…"))
+    state = lambda t, n, full: F.struct(t.alias("t"), n.alias("n"), full.alias("full"))
+    study = F.when(F.coalesce(F.length("title"), F.lit(0)) > 0, F.concat(F.lit("Study: "), "title")).otherwise(F.lit(""))
+    start = F.when(F.length(study) > limit, state(shortened(study, F.lit(limit - 1)), F.lit(0), F.lit(True))).otherwise(state(study, F.lit(0), F.lit(False)))
 
     def add(acc, x):
-        joined = F.when(acc["t"] == "", x["e"]).otherwise(F.concat(acc["t"], F.when(acc["n"] == 0, F.lit(" | ")).otherwise(F.lit("; ")), x["e"]))
-        fits = ~acc["full"] & (F.length(joined) <= limit)
-        return F.when(fits, F.struct(joined.alias("t"), (acc["n"] + 1).alias("n"), F.lit(False).alias("full"))).when(
-            acc["full"] | (acc["t"] != ""), F.struct(acc["t"].alias("t"), acc["n"].alias("n"), F.lit(True).alias("full"))).otherwise(F.struct(cut(x["e"]).alias("t"), F.lit(1).alias("n"), F.lit(True).alias("full")))
-
-    return lists.select(document, F.aggregate("es", start, add, lambda acc: acc["t"]).alias("context"))
+        mark = F.when(acc["t"] == "", F.lit("")).when(acc["n"] == 0, F.lit(" | ")).otherwise(F.lit("; "))
+        whole = F.concat(acc["t"], mark, x["e"])
+        left = F.lit(limit) - F.length(acc["t"]) - F.length(mark)
+        cut = (F.length(x["e"]) > limit) & (left > 1)
+        return F.when(acc["full"], acc).when(F.length(whole) <= limit, state(whole, acc["n"] + 1, F.lit(False))).when(
+            cut, state(F.concat(acc["t"], mark, shortened(x["e"], left - 1)), acc["n"] + 1, F.lit(True))).otherwise(state(acc["t"], acc["n"], F.lit(True)))
+
+    return lists.select(document, F.nullif(F.aggregate("es", start, add, lambda acc: acc["t"]), F.lit("")).alias("context"))

@@ -10,65 +10,59 @@ from pyspark.sql import DataFrame, functions as F
 from tessera.operators.targets import resolve
 
 
-def _split(pointer: str) -> tuple[str, str]:
-    above, _, last = pointer.rpartition("/")
-    return above, last.replace("~1", "/").replace("~0", "~")
+def _above(pointer: str) -> str:
+    return pointer.rpartition("/")[0] if "/" in pointer.strip("/") else ""
 
 
-def apply_target(document: object, label_path: str, parent_path: str, field: str, label: str, term_id: str | None, onto: str | None) -> None:
+def apply_target(document: object, field_path: str, label_path: str, parent_path: str, field: str, label: str, term_id: str | None, onto: str | None) -> None:
     """Write one result beside the value it was read from; bad paths are ignored.
 
-    A tag/value pair gets rows hz_<field>, _id, _onto in its list; a container's value a list hz_<field> of
-    {value, id, onto} beside the container; a plain member the members hz_<field>, _id, _onto, with a suffix _1, _2, ... when
-    another result has the name. What is already there is not repeated.
+    The paths tell where: one path for field and label is a plain member, which gets the members hz_<field>, _id, _onto beside
+    it, with a suffix _1, _2, ... while one of the names is taken by another result; a tag and a value get rows of the same
+    names in the list of the pair; any other pair is a container, which gets a list hz_<field> of {value, id, onto} beside
+    it. What is already there is not repeated; a member hz_<field> that is no list makes way for the container's list.
     """
-    name = f"hz_{field}"
     parent = resolve(document, parent_path)
-    if not isinstance(parent, dict) or resolve(document, label_path) is None:
-        return
-    _, member = _split(label_path)
-    if member == "value" and "tag" in parent:
-        rows = resolve(document, _split(parent_path)[0])
-        if not isinstance(rows, list):
-            return
-        for tag, value in ((name, label), (f"{name}_id", term_id), (f"{name}_onto", onto)):
-            row = {"tag": tag, "value": value}
-            if value and row not in rows:
-                rows.append(row)
+    if not isinstance(parent, dict) or not isinstance(field_path, str) or not isinstance(label_path, str):
         return
-    if member == "value" and label_path == f"{parent_path}/value":
-        above, last = _split(parent_path)
-        holder = resolve(document, above)
-        if isinstance(holder, list):
-            holder = resolve(document, _split(above)[0])
-        if not isinstance(holder, dict):
+    name = f"hz_{field}"
+    more = {k: v for k, v in (("id", term_id), ("onto", onto)) if v is not None}
+    if field_path == label_path:
+        member = field_path.rpartition("/")[2].replace("~1", "/").replace("~0", "~")
+        if field_path == "" or member not in parent:
             return
-        row = {"value": label} | ({"id": term_id} if term_id else {}) | ({"onto": onto} if onto else {})
-        made = holder.setdefault(name, [])
-        if isinstance(made, list) and row not in made:
-            made.append(row)
+        k = 0
+        while True:
+            suffix = f"_{k}" if k else ""
+            wanted = {f"{name}{suffix}": label} | {f"{name}_{part}{suffix}": v for part, v in more.items()}
+            if all(parent.get(n) == v for n, v in wanted.items()):
+                return
+            if parent.keys().isdisjoint(wanted):
+                parent.update(wanted)
+                return
+            k += 1
+    if field_path.endswith("/tag") and label_path.endswith("/value") and "tag" in parent and "value" in parent:
+        rows = resolve(document, _above(parent_path))
+        if isinstance(rows, list):
+            for tag, value in ((name, label), *((f"{name}_{part}", v) for part, v in more.items())):
+                if (row := {"tag": tag, "value": value}) not in rows:
+                    rows.append(row)
         return
-    k, suffix = 0, ""
-    wanted = {"": label, "_id": term_id, "_onto": onto}
-    while True:
-        keys = {part: f"{name}{part}{suffix}" for part in wanted}
-        there = [x for x in keys.values() if x in parent]
-        if not there:
-            parent.update({keys[p]: v for p, v in wanted.items() if v})
-            return
-        if all(parent.get(keys[p]) == (v or None) for p, v in wanted.items()):
-            return
-        k += 1
-        suffix = f"_{k}"
+    holder = resolve(document, _above(field_path))
+    if isinstance(holder, dict):
+        if not isinstance(holder.get(name), list):
+            holder[name] = []
+        if (row := {"value": label} | more) not in holder[name]:
+            holder[name].append(row)
 
 
 def write_back(records: DataFrame, results: DataFrame, key: str = "record_id", text: str = "metadata") -> DataFrame:
     """(key, text) of every record with its results written in; records without results, or that are not JSON, stay as they are.
 
-    results: key, ordinal, pre_hz_label_path, parent_path, hz_field, hz_label, term_id, onto; rows without hz_field or hz_label are
-    skipped, others applied in order. A document's results are bounded by the document.
+    results: key, ordinal, pre_hz_field_path, pre_hz_label_path, parent_path, hz_field, hz_label, term_id, onto; rows without
+    hz_field or hz_label are skipped, others applied in order. A document's results are bounded by the document.
     """
-    part = F.struct("ordinal", "pre_hz_label_path", "parent_path", "hz_field", "hz_label", "term_id", "onto")
+    part = F.struct("ordinal", "pre_hz_field_path", "pre_hz_label_path", "parent_path", "hz_field", "hz_label", "term_id", "onto")
     lists = results.filter("hz_field is not null and hz_label is not null").groupBy(key).agg(F.array_sort(F.collect_list(part)).alias("results"))
     kind = dict(records.dtypes)[key]
 
@@ -84,7 +78,7 @@ def write_back(records: DataFrame, results: DataFrame, key: str = "record_id", t
                     out.append(value)
                     continue
                 for r in rows:
-                    apply_target(document, r["pre_hz_label_path"], r["parent_path"], r["hz_field"], r["hz_label"], r["term_id"], r["onto"])
+                    apply_target(document, r["pre_hz_field_path"], r["pre_hz_label_path"], r["parent_path"], r["hz_field"], r["hz_label"], r["term_id"], r["onto"])
                 out.append(json.dumps(document, ensure_ascii=False))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], [key, text])
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions import keys, text
 from tessera.operators import catalog, fts, graph, lookup, pool, targets, vector, writeback
-from tessera.operators.nested import flat_items, flat_table
+from tessera.operators.nested import flat_items
 from tessera.sources import ontology
 from tessera.session import staged, table
 
@@ -133,12 +133,15 @@ def free_target_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def metadata_context(spark: SparkSession, d: str) -> DataFrame:
     records = table(spark, d, "miniml_records")
-    titles = flat_table(flat_items(records), "series").groupBy("record_id").agg(F.min("title").alias("title"))
-    return targets.context_text(targets.extract_targets(records).join(titles, "record_id", "left"))
+    series = flat_items(records, entities=("series",)).filter(~F.col("item_path").rlike("/series/[0-9]+$"))
+    title = F.col("cells")[F.lit("title")]
+    titles = series.filter(keys.collapse(title) != "").groupBy("record_id").agg(F.min_by(title, F.col("ordinal")).alias("title"))
+    found = targets.extract_targets(records).select("record_id", "pre_hz_field", "pre_hz_label", "ordinal")
+    return targets.context_text(found.join(titles, "record_id", "full"))
 
 
 def write_back(spark: SparkSession, d: str) -> DataFrame:
-    results = table(spark, d, "targets").select("record_id", F.col("target_id").alias("ordinal"), "pre_hz_label_path", "parent_path", "hz_field", "hz_label", F.lit(None).cast("string").alias("term_id"), F.lit(None).cast("string").alias("onto"))
+    results = table(spark, d, "targets").select("record_id", F.col("target_id").alias("ordinal"), "pre_hz_field_path", "pre_hz_label_path", "parent_path", "hz_field", "hz_label", F.lit(None).cast("string").alias("term_id"), F.lit(None).cast("string").alias("onto"))
     return writeback.write_back(table(spark, d, "miniml_records"), results)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.operators import hierarchy, nested, wide
-from tessera.session import table
+from tessera.session import staged, table
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -21,24 +21,42 @@ def p3_wide_latest(spark: SparkSession, d: str) -> DataFrame:
     return wide.typed(*wide.wide_table(table(spark, d, "triples"), table(spark, d, "prefixes"), keep="latest"))
 
 
-def _items(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flat_items(table(spark, d, "miniml_records"))
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return nested.flat_items(table(spark, d, "miniml_records"), entities=("series", "organism", "characteristic")).select("record_id", "item_path")
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _items(spark, d).select("record_id", "item_path")
+def _flat(spark: SparkSession, d: str, entity: str) -> DataFrame:
+    return nested.flat_table(staged(nested.flat_items(table(spark, d, "miniml_records"), entities=(entity,)), entity), entity)
+
+
+def p4_packages(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "package")
 
 
 def p4_series(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flat_table(_items(spark, d), "series")
+    return _flat(spark, d, "series")
+
+
+def p4_samples(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "sample")
+
+
+def p4_channels(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "channel")
 
 
 def p4_organisms(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flat_table(_items(spark, d), "organism")
+    return _flat(spark, d, "organism")
 
 
 def p4_characteristics(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flat_table(_items(spark, d), "characteristic")
+    return _flat(spark, d, "characteristic")
+
+
+def p4_items(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of all tables, those without a name of their own too."""
+    items = nested.flat_items(table(spark, d, "miniml_records"))
+    return items.withColumn("cells", F.to_json("cells"))
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +127,7 @@ parsed as (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_wide, p3_wide_latest, p4_found, p4_series, p4_organisms, p4_characteristics, p6_found, p6_paths, p6_descendants, p6_subtrees)}
+    return {f.__name__: f for f in (p3_found, p3_wide, p3_wide_latest, p4_found, p4_packages, p4_series, p4_samples, p4_channels, p4_organisms, p4_characteristics, p4_items, p6_found, p6_paths, p6_descendants, p6_subtrees)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+from urllib.parse import urljoin
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -18,51 +18,117 @@ XML = "http://www.w3.org/XML/1998/namespace"
 TRIPLES = "subject string, predicate string, object_type string, object_value string, language string, datatype string"
 
 
-def triples_of_file(path: str):
-    """Triples of an RDF/XML file, streamed: memory holds one top-level node at a time. Subjects without a name are left out."""
-    depth, root, base = 0, None, ""
+#: Attributes of RDF/XML that are no properties.
+_SYNTAX = {f"{{{RDF}}}{n}" for n in ("about", "ID", "nodeID", "resource", "parseType", "datatype", "bagID")}
+
+
+def triples_of_file(path: str, part: int = 0, parts: int = 1):
+    """Triples of an RDF/XML file, streamed: memory holds one top-level node at a time.
+
+    Of several ``parts`` each reads the whole file but gives the triples of its own top-level nodes only. Blank nodes are named
+    by their place in the file, or by their nodeID.
+    """
+    depth, root, base, n = 0, None, "", 0
     for event, node in ElementTree.iterparse(path, ("start", "end")):
         if event == "start":
             depth += 1
             if root is None:
                 root = node
-                base = node.get(f"{{{XML}}}base") or ""
+                base, lang = node.get(f"{{{XML}}}base") or "", node.get(f"{{{XML}}}lang") or ""
+                alone = node.tag != f"{{{RDF}}}RDF"
         else:
             depth -= 1
-            if depth == 1:
-                yield from _node(node, base)
+            if depth == 1 and not alone:
+                if n % parts == part:
+                    yield from _Names(base, f"{n}").node(node, lang)[1]
+                n += 1
                 root.clear()
-
-
-def _full(iri: str, base: str) -> str:
-    return base + iri if iri.startswith("#") or iri == "" else iri
-
-
-def _node(node, base: str):
-    subject = node.get(f"{{{RDF}}}about") or (node.get(f"{{{RDF}}}ID") and "#" + node.get(f"{{{RDF}}}ID"))
-    if subject is None:
-        return
-    subject = _full(subject, base)
-    tag = node.tag[1:].replace("}", "")
-    if tag != RDF + "Description":
-        yield (subject, RDF + "type", "uri", tag, "", "")
-    for child in node:
-        predicate = child.tag[1:].replace("}", "")
-        resource = child.get(f"{{{RDF}}}resource")
-        if resource is not None:
-            yield (subject, predicate, "uri", _full(resource, base), "", "")
-        elif len(child):
-            inner = child[0].get(f"{{{RDF}}}about")
-            yield (subject, predicate, "uri" if inner else "bnode", _full(inner, base) if inner else "_:", "", "")
-            if inner:
-                yield from _node(child[0], base)
-        else:
-            yield (subject, predicate, "literal", child.text or "", child.get(f"{{{XML}}}lang") or "", child.get(f"{{{RDF}}}datatype") or "")
+    if root is not None and alone and part == 0:
+        yield from _Names(base, "0").node(root, "")[1]
+
+
+class _Names:
+    """Triples of one top-level node; blank nodes are numbered within it."""
+
+    def __init__(self, base: str, place: str):
+        self.base, self.place, self.blanks = base, place, 0
+
+    def full(self, iri: str) -> str:
+        return self.base.partition("#")[0] + iri if iri.startswith("#") else self.base if iri == "" else urljoin(self.base, iri) if self.base and ":" not in iri.partition("/")[0] else iri
+
+    def blank(self) -> str:
+        self.blanks += 1
+        return f"_:n{self.place}x{self.blanks}"
+
+    def name(self, node) -> tuple[str, str]:
+        get = lambda n: node.get(f"{{{RDF}}}{n}")
+        if get("about") is not None:
+            return self.full(get("about")), "uri"
+        if get("ID") is not None:
+            return self.full("#" + get("ID")), "uri"
+        return (f"_:{get('nodeID')}" if get("nodeID") is not None else self.blank()), "bnode"
+
+    def attributes(self, subject: str, node, lang: str):
+        for k, v in node.attrib.items():
+            if k[0] == "{" and k not in _SYNTAX and not k.startswith(f"{{{XML}}}"):
+                predicate = k[1:].replace("}", "")
+                yield (subject, predicate, "uri", self.full(v), "", "") if predicate == RDF + "type" else (subject, predicate, "literal", v, lang, "")
+
+    def node(self, node, lang: str) -> tuple[tuple[str, str], list[tuple]]:
+        """The name of a node element and all triples in it."""
+        lang = node.get(f"{{{XML}}}lang", lang)
+        subject, kind = self.name(node)
+        tag = node.tag[1:].replace("}", "")
+        out = [(subject, RDF + "type", "uri", tag, "", "")] if tag != RDF + "Description" else []
+        out += self.attributes(subject, node, lang)
+        out += self.properties(subject, node, lang)
+        return (subject, kind), out
+
+    def properties(self, subject: str, node, lang: str) -> list[tuple]:
+        out, item = [], 0
+        for child in node:
+            predicate = child.tag[1:].replace("}", "")
+            if predicate == RDF + "li":
+                item += 1
+                predicate = f"{RDF}_{item}"
+            own = child.get(f"{{{XML}}}lang", lang)
+            get = lambda n: child.get(f"{{{RDF}}}{n}")  # noqa: B023, E731
+            if get("parseType") == "Literal":
+                text = (child.text or "") + "".join(ElementTree.tostring(c, encoding="unicode") for c in child)
+                out.append((subject, predicate, "literal", text, "", RDF + "XMLLiteral"))
+            elif get("parseType") == "Collection":
+                names = []
+                for c in child:
+                    name, triples = self.node(c, own)
+                    names.append(name)
+                    out += triples
+                links = [self.blank() for _ in names]
+                out.append((subject, predicate, "bnode", links[0], "", "") if links else (subject, predicate, "uri", RDF + "nil", "", ""))
+                for i, (link, (name, kind)) in enumerate(zip(links, names)):
+                    out.append((link, RDF + "first", kind, name, "", ""))
+                    out.append((link, RDF + "rest", "bnode", links[i + 1], "", "") if i + 1 < len(links) else (link, RDF + "rest", "uri", RDF + "nil", "", ""))
+            elif get("parseType") is not None:
+                blank = self.blank()
+                out.append((subject, predicate, "bnode", blank, "", ""))
+                out += self.properties(blank, child, own)
+            elif len(child):
+                for c in child:
+                    (name, kind), triples = self.node(c, own)
+                    out.append((subject, predicate, kind, name, "", ""))
+                    out += triples
+            elif get("resource") is not None or get("nodeID") is not None or any(self.attributes("", child, own)):
+                name, kind = (self.full(get("resource")), "uri") if get("resource") is not None else (f"_:{get('nodeID')}" if get("nodeID") is not None else self.blank(), "bnode")
+                out.append((subject, predicate, kind, name, "", ""))
+                out += self.attributes(name, child, own)
+            else:
+                datatype = get("datatype")
+                out.append((subject, predicate, "literal", child.text or "", "" if datatype else own, self.full(datatype) if datatype else ""))
+        return out
 
 
 class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, part: int, parts: int):
+        self.path, self.part, self.parts = path, part, parts
 
 
 class RdfReader(DataSourceReader):
@@ -72,11 +138,12 @@ class RdfReader(DataSourceReader):
     def partitions(self):
         import glob
 
-        return [_File(p) for p in sorted(glob.glob(self.options["path"]))]
+        parts = int(self.options.get("parts", "1"))
+        return [_File(p, k, parts) for p in sorted(glob.glob(self.options["path"])) for k in range(parts)]
 
     def read(self, partition):
         rows: list = []
-        for t in triples_of_file(partition.path):
+        for t in triples_of_file(partition.path, partition.part, partition.parts):
             rows.append((*t, partition.path))
             if len(rows) == 5000:
                 yield _arrow(rows)
@@ -90,7 +157,10 @@ def _arrow(rows):
 
 
 class RdfSource(DataSource):
-    """``spark.read.format("rdfxml").load(glob)``: one partition per file, read in bounded memory."""
+    """``spark.read.format("rdfxml").option("parts", n).load(glob)``: n partitions per file, read in bounded memory.
+
+    The files lie in a folder that driver and executors see under one name, as the files of the tables do.
+    """
 
     @classmethod
     def name(cls):
@@ -103,10 +173,10 @@ class RdfSource(DataSource):
         return RdfReader(self.options)
 
 
-def read_rdf(spark: SparkSession, path: str) -> DataFrame:
-    """Triples of the RDF/XML files of a path or pattern all executors see."""
+def read_rdf(spark: SparkSession, path: str, parts: int = 1) -> DataFrame:
+    """Triples of the RDF/XML files of a path or pattern all executors see; ``parts`` tasks share the nodes of each file."""
     spark.dataSource.register(RdfSource)
-    return spark.read.format("rdfxml").option("path", path).load()
+    return spark.read.format("rdfxml").option("path", path).option("parts", str(parts)).load()
 
 
 def read_lookup_json(spark: SparkSession, path: str) -> DataFrame:
@@ -131,8 +201,8 @@ def valid_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def class_triples(triples: DataFrame, type_iri: str = RDF + "type", class_iri: str = OWL + "Class") -> DataFrame:
-    """The triples of subjects that are classes."""
-    classes = triples.filter((F.col("predicate") == type_iri) & (F.col("object_value") == class_iri)).select("subject").distinct()
+    """The triples of named subjects that are classes."""
+    classes = triples.filter(~F.startswith("subject", F.lit("_:")) & (F.col("predicate") == type_iri) & (F.col("object_value") == class_iri)).select("subject").distinct()
     return triples.join(classes, "subject", "left_semi")
 
 
@@ -165,7 +235,7 @@ def owl_terms(triples: DataFrame) -> DataFrame:
     accession = F.coalesce("explicit_id", accession_from_iri(F.col("subject")))
     replaced = F.get("replaced_by", 0)
     return wide.select(
-        F.col("subject").alias("iri"), accession.alias("accession"), "title", "description", F.filter(F.transform("parent_iris", accession_from_iri), lambda x: x.isNotNull()).alias("parents"), "parent_iris",
+        F.col("subject").alias("iri"), accession.alias("accession"), "title", "description", F.transform("parent_iris", lambda x: F.coalesce(accession_from_iri(x), x)).alias("parents"), "parent_iris",
         F.struct("exact", "related", "broad", "narrow").alias("synonyms"), "xrefs", "subsets", F.coalesce(F.lower("deprecated").isin("true", "1"), F.lit(False)).alias("deprecated"), F.coalesce(accession_from_iri(replaced), replaced).alias("replaced_by"), "properties")
 
 
@@ -200,8 +270,3 @@ def payload_terms(terms: DataFrame) -> DataFrame:
     return terms.withColumn("p", p).withColumn("l", listed).select(
         "ontology_id", "term_key", "indexed_at", "p.id", "p.accession", "p.iri", "p.title", F.when(F.startswith("p.description", F.lit("[")) & F.col("l").isNotNull(), F.array_join("l", " ")).otherwise(F.col("p.description")).alias("description"),
         "p.parents", "p.parent_iris", "p.synonyms", "p.deprecated")
-
-
-def json_text(value: object) -> str:
-    """A value as sorted, indented JSON for a report."""
-    return json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True)

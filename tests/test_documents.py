@@ -13,6 +13,8 @@ def test_extraction_modes():
     e = lambda *s: targets.extracted(doc, list(s))
     assert [(f, fp, lp) for f, _, fp, lp, _ in e(("/characteristics", "tag_value"))] == [("disease state", "/characteristics/0/tag", "/characteristics/0/value"), ("tissue", "/characteristics/1/tag", "/characteristics/1/value")]
     assert [(f, v, lp) for f, v, _, lp, _ in e(("/organism", "container_value"))] == [("organism", "Homo", "/organism/0/value")]
+    nested = {"organism": [{"value": "Homo", "sub": {"value": "inner"}}, {"more": {"value": 3}}]}
+    assert targets.extracted(nested, [("/organism", "container_value")]) == [("organism", "Homo", "/organism", "/organism/0/value", "/organism/0"), ("organism", 3, "/organism", "/organism/1/more/value", "/organism/1/more")]
     assert e(("/source", "field_value")) == [("source", "lung", "/source", "/source", "")]
     assert [(f, v) for f, v, *_ in e("/deep")] == [("a", "1"), ("c", True)] and e("/source") == []
     assert e(("/source", "odd"), ("/none", "scalar"), 5) == []
@@ -23,6 +25,8 @@ def test_targets(spark):
     doc = {"sample": [{"channel": [{"source": "lung", "characteristics": [{"tag": "t", "value": "v"}]}, {"source": "lung"}]}]}
     found = targets.extract_targets(spark.createDataFrame([(1, json.dumps(doc)), (2, "{"), (3, None)], "record_id long, metadata string"))
     assert [(r["id"], r["pre_hz_label_path"]) for r in found.orderBy("ordinal").collect()] == [("target-0", "/sample/0/channel/0/source"), ("target-1", "/sample/0/channel/0/characteristics/0/value"), ("target-2", "/sample/0/channel/1/source")]
+    odd = spark.createDataFrame([(1, '{"sample": [{"channel": [{"source": true, "molecule": 1.50}]}]}')], "record_id long, metadata string")
+    assert sorted(r["pre_hz_label"] for r in targets.extract_targets(odd).collect()) == ["1.5", "True"]
     deduped = targets.dedupe_targets(found).orderBy("id").collect()
     assert [(r["id"], r["n_occurrences"], len(r["occurrences"])) for r in deduped] == [("target-0", 2, 2), ("target-1", 1, 1)]
 
@@ -39,25 +43,31 @@ def test_additions(spark):
 
 
 def test_context(spark):
-    rows = [(1, "Fibrosis  study", "source", "lung tissue", 0), (1, "Fibrosis  study", "molecule", "total RNA", 1), (1, "Fibrosis  study", "source", "lung tissue", 2), (2, "A long study title", "a", "b", 0), (3, None, "f", "g" * 20, 0), (3, None, "h", "i", 1)]
+    x = "x" * 600
+    rows = [(1, "  Fibrosis   study  ", f, v, n) for n, (f, v) in enumerate([("source", "lung tissue"), ("molecule", "total RNA"), ("organism", "Homo sapiens"), ("disease", "fibrosis"), ("protocol", "not a protocol section"), ("source", " lung  tissue")])]
+    rows += [(2, "Unicode study β", "source", "lung", 0), (2, "Unicode study β", "description", x, 1), (2, "Unicode study β", "source", "lung", 2), (3, "A long study title", None, None, None), (4, None, "f", "g" * 20, 0), (4, None, "h", "i", 1), (5, None, None, "z", 0), (6, "Study", "custom", "value", 0), (6, "Study", "", "z", 1)]
     df = spark.createDataFrame(rows, "record_id int, title string, pre_hz_field string, pre_hz_label string, ordinal int")
-    assert {r["record_id"]: r["context"] for r in targets.context_text(df).collect()}[1] == "Study: Fibrosis study | source=lung tissue; molecule=total RNA"
+    got = {r["record_id"]: r["context"] for r in targets.context_text(df).collect()}
+    assert got[1] == "Study: Fibrosis study | source=lung tissue; molecule=total RNA; organism=Homo sapiens; disease=fibrosis; protocol=not a protocol section"
+    assert got[2].startswith("Study: Unicode study β | source=lung; description=x") and got[2].endswith("x…") and len(got[2]) == 500 and got[2].count("source=lung") == 1
+    assert got[3] == "Study: A long study title" and got[5] is None and got[6] == "Study: Study | custom=value"
     short = {r["record_id"]: r["context"] for r in targets.context_text(df, limit=10).collect()}
-    assert short[2] == "Study: A …" and short[3] == "f=ggggggg…"
+    assert short[3] == "Study: A…" and short[4] == "f=ggggggg…"
 
 
 def test_write_back(spark):
-    doc = {"characteristics": [{"tag": "d", "value": "x"}], "organism": [{"value": "Homo"}], "a/b": {"s": "lung"}}
-    r = lambda n, lp, pp, f, l: (1, n, lp, pp, f, l, "O:1", "o")
-    rows = [r(0, "/characteristics/0/value", "/characteristics/0", "disease", "X"), r(1, "/characteristics/0/value", "/characteristics/0", "disease", "X"), r(2, "/organism/0/value", "/organism/0", "organism", "H"), r(3, "/organism/0/value", "/organism/0", "organism", "H"),
-            r(4, "/a~1b/s", "/a~1b", "s", "L"), r(5, "/a~1b/s", "/a~1b", "s", "L"), r(6, "/a~1b/s", "/a~1b", "s", "M"), r(7, "/gone", "/none", "s", "M"), (1, 8, "/a~1b/s", "/a~1b", None, "z", None, None)]
-    results = spark.createDataFrame(rows, "record_id long, ordinal int, pre_hz_label_path string, parent_path string, hz_field string, hz_label string, term_id string, onto string")
+    doc = {"characteristics": [{"tag": "d", "value": "x"}], "organism": [{"value": "Homo", "in": {"value": "n"}}], "a/b": {"s": "lung", "value": "v"}, "hz_organ": "text"}
+    r = lambda n, fp, lp, pp, f, l, t="O:1", o="o": (1, n, fp, lp, pp, f, l, t, o)
+    tag, org, mem = ("/characteristics/0/tag", "/characteristics/0/value", "/characteristics/0"), ("/organism", "/organism/0/value", "/organism/0"), ("/a~1b/s", "/a~1b/s", "/a~1b")
+    rows = [r(0, *tag, "disease", "X"), r(1, *tag, "disease", "X"), r(2, *org, "organism", "H"), r(3, *org, "organism", "H"), r(4, *mem, "s", "L"), r(5, *mem, "s", "L"), r(6, *mem, "s", "M"), r(7, "/gone", "/gone", "/none", "s", "M"), r(8, *mem, None, "z"),
+            r(9, "/a~1b/value", "/a~1b/value", "/a~1b", "v", "plain", None, None), r(10, "/organism", "/organism/0/in/value", "/organism/0/in", "organ", "deep", None, None), r(11, *mem, "s", "L", None, None)]
+    schema = "record_id long, ordinal int, pre_hz_field_path string, pre_hz_label_path string, parent_path string, hz_field string, hz_label string, term_id string, onto string"
     records = spark.createDataFrame([(1, json.dumps(doc)), (2, "{broken"), (3, None)], "record_id long, metadata string")
-    got = {x["record_id"]: x["metadata"] for x in writeback.write_back(records, results).collect()}
+    got = {x["record_id"]: x["metadata"] for x in writeback.write_back(records, spark.createDataFrame(rows, schema)).collect()}
     out = json.loads(got[1])
     assert out["characteristics"][1:] == [{"tag": "hz_disease", "value": "X"}, {"tag": "hz_disease_id", "value": "O:1"}, {"tag": "hz_disease_onto", "value": "o"}]
-    assert out["hz_organism"] == [{"value": "H", "id": "O:1", "onto": "o"}]
-    assert out["a/b"] == {"s": "lung", "hz_s": "L", "hz_s_id": "O:1", "hz_s_onto": "o", "hz_s_1": "M", "hz_s_id_1": "O:1", "hz_s_onto_1": "o"}
+    assert out["hz_organism"] == [{"value": "H", "id": "O:1", "onto": "o"}] and out["hz_organ"] == [{"value": "deep"}]
+    assert out["a/b"] == {"s": "lung", "value": "v", "hz_s": "L", "hz_s_id": "O:1", "hz_s_onto": "o", "hz_s_1": "M", "hz_s_id_1": "O:1", "hz_s_onto_1": "o", "hz_v": "plain"}
     assert got[2] == "{broken" and got[3] is None
 
 
@@ -95,10 +105,34 @@ def test_rdf(spark, tmp_path):
     one = terms["TEST:1"]
     assert (one["title"], one["parents"], one["xrefs"], one["synonyms"]["exact"], one["properties"], one["deprecated"]) == ("lung", ["TEST:0"], ["UMLS:C0024109"], ["pulmo"], {"http://x/note": ["a", "b"]}, False)
     assert terms["TEST:2"]["deprecated"] and terms["TEST:2"]["replaced_by"] == "TEST:1"
+    assert sorted(map(tuple, ontology.read_rdf(spark, f"{tmp_path}/*.owl", parts=3).collect())) == sorted(map(tuple, t.collect()))
     h = ontology.header(t).first()
     assert (h["iri"], h["title"], h["version_iri"]) == ("http://t/onto", "Test", "http://t/releases/1/o.owl")
 
 
+ODD = """<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:x="http://x/" xml:base="http://b/f" xml:lang="de">
+<rdf:Description rdf:about="a" x:p="attr"><x:n rdf:nodeID="k"/><x:l rdf:parseType="Literal">t<b/></x:l><x:r rdf:parseType="Resource"><x:q xml:lang="">v</x:q></x:r><x:c rdf:parseType="Collection"><x:T rdf:about="#i"/></x:c>
+ <x:e rdf:resource="http://o/1" x:w="z"/><x:m><x:T rdf:nodeID="k"/></x:m><x:d rdf:datatype="http://t/int">5</x:d><rdf:li>one</rdf:li><rdf:li>two</rdf:li></rdf:Description></rdf:RDF>"""
+
+
+def test_rdf_forms(spark, tmp_path):
+    (tmp_path / "odd.owl").write_text(ODD)
+    got = {t[:4] for t in ontology.triples_of_file(str(tmp_path / "odd.owl"))}
+    a, rdf = "http://b/a", ontology.RDF
+    assert {(a, "http://x/p", "literal", "attr"), (a, "http://x/n", "bnode", "_:k"), ("_:k", rdf + "type", "uri", "http://x/T"), (a, "http://x/m", "bnode", "_:k"), (a, "http://x/e", "uri", "http://o/1"), ("http://o/1", "http://x/w", "literal", "z"),
+            (a, "http://x/d", "literal", "5"), (a, rdf + "_1", "literal", "one"), (a, rdf + "_2", "literal", "two"), ("http://b/f#i", rdf + "type", "uri", "http://x/T")} <= got
+    assert sum(p == rdf + "first" and o == "http://b/f#i" for _, p, _, o in got) == 1 and sum(p == rdf + "rest" and o == rdf + "nil" for _, p, _, o in got) == 1
+    assert any(p == "http://x/q" and s.startswith("_:") and o == "v" for s, p, _, o in got) and any(p == "http://x/l" and o.startswith("t<b") for _, p, _, o in got)
+    assert {t[4] for t in ontology.triples_of_file(str(tmp_path / "odd.owl")) if t[1] == "http://x/p"} == {"de"}
+
+
+def test_infinite_scores(spark):
+    from tessera.operators import pool
+
+    hits = spark.createDataFrame([(1, "o", 0, str(k), k, s) for k, s in enumerate([0.9, float("inf"), float("-inf"), float("nan"), 0.5, 0.4])], "query_id int, ontology_id string, framework_rank int, identity string, position int, score double")
+    assert [r["identity"] for r in pool.balanced_pool(hits).orderBy("pool_rank").collect()] == ["0", "4"]
+
+
 def test_lookup_json(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"ontology": {"id": "o"}, "terms": {"label": {"Oral Mucosa": [{"iri": "1"}, {"iri": "2"}]}, "id": {"X": {"iri": "1"}}}}))
     (tmp_path / "b.json").write_text('{"ontology": {}, "terms": [')

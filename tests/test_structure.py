@@ -82,13 +82,37 @@ def test_flat_items(spark):
         {"organism": [{"value": "m", "taxid": "9"}, {"taxid": "1"}], "characteristics": None}], "supplement": [{"tag": "f", "value": "v"}]}], "protocol": {"tag": "p", "value": "q"}}
     rows = [(1, json.dumps(doc), 5), (2, json.dumps([doc, {"sample": "odd"}]), 5), (3, json.dumps(doc)[:-1], 5), (4, None, 5), (5, "", 5), (6, "[]", 5)]
     df = spark.createDataFrame(rows, "record_id long, metadata string, sample int")
-    items = nested.flat_items(df)
+    items = nested.flat_items(df, entities=("series", "organism", "characteristic"))
     got = sorted((r["record_id"], r["item_path"]) for r in items.collect())
     one = ["/sample/0/channel/0/characteristics/0", "/sample/0/channel/0/characteristics/1/a~1b/1", "/sample/0/channel/0/organism", "/sample/0/channel/1/organism/0", "/series/0", "/series/1"]
     assert got == sorted([(1, p) for p in one] + [(2, "/0" + p) for p in one])
     c = nested.flat_table(items, "characteristic").filter("record_id = 2 and tag = 'y'").first()
     assert (c["package"], c["sample"], c["channel"], c["value"], c["parent_path"]) == (0, 0, 0, "false", "/0/sample/0/channel/0/characteristics/1/a~1b")
-    assert nested.flat_items(df.limit(0)).count() == 0
+    assert nested.flat_items(df.limit(0)).count() == 0 and nested.flat_table(nested.flat_items(df.limit(0)), "sample").columns == ["record_id", "item_path", "package", "package_path", "sample", "parent_path"]
+    everything = nested.flat_items(df).cache()
+    assert nested.members(everything, "characteristic") == ["tag", "unit", "value"] and nested.members(everything, "organism") == ["taxid", "value"]
+    assert {r["entity"] for r in everything.collect()} == {"package", "series", "sample", "channel", "organism", "characteristic", "/sample/channel/characteristics", "/sample/channel/characteristics/a~1b", "/sample/channel/characteristics/tag", "/sample/channel/organism", "/sample/supplement", "/protocol"}
+    for r in everything.filter("record_id = 2 and item_path <> package_path").collect():  # links lead to rows
+        assert r["parent_path"] in {x["item_path"] for x in everything.filter("record_id = 2").collect()} or r["entity"] == "characteristic"
+    clash = nested.flat_items(spark.createDataFrame([(1, '{"sample": [{"sample": 1, "Title": "a", "title": "b", "package": {"x": [1, [2, null]]}}]}')], "record_id long, metadata string"))
+    assert nested.flat_table(clash, "sample").columns[-3:] == ["Title", "sample_2", "title_2"]
+    assert sorted((r["item_path"], r["cells"][""]) for r in clash.filter("entity = '/sample/package/x'").collect()) == [("/sample/0/package/x/0", "1"), ("/sample/0/package/x/1/0", "2")]
+
+
+@settings(max_examples=150, deadline=None)
+@given(json_value)
+def test_no_scalar_is_lost(value):
+    want = []
+
+    def walk(x, path):
+        for k, v in x.items() if isinstance(x, dict) else enumerate(x) if isinstance(x, list) else ():
+            walk(v, f"{path}/{nested.escape(str(k))}")
+        if x is not None and not isinstance(x, (dict, list)):
+            want.append(path)
+
+    walk(value, "")
+    got = [path if name == "" and (path, kinds[path]) != (path, "object") else f"{path}/{nested.escape(name)}" for kinds in [{p: k for p, k, _ in nested.triples_of(json.dumps(value))}] for _, path, *_, cells in nested.items_of(json.dumps(value)) for name, _ in cells]
+    assert sorted(got) == sorted(want)
 
 
 def climb(links):
