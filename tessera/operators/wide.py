@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.session import staged
+from tessera.session import shared_dir
 
 #: The datatypes with a column type of their own; any other is text.
 TYPED = ("integer", "decimal", "boolean", "date", "dateTime")
@@ -46,7 +47,7 @@ def readable(value: Column, kind: str) -> Column:
     """
     text = F.regexp_replace(value, "(?U)^\\s+|\\s+$", "")
     if kind == "integer":
-        return F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("decimal(38,0)"))
+        return F.when(text.rlike("^[+-]?[0-9]+$"), F.regexp_replace(text, "^([+-]?)0+(?=[0-9])", "$1").try_cast("decimal(38,0)"))
     if kind == "decimal":
         return F.when(text.rlike("^[+-]?[0-9]+(\\.[0-9]+)?$"), text.try_cast("decimal(38,10)"))
     if kind == "boolean":
@@ -81,45 +82,111 @@ def attributes_of(literals: DataFrame, max_columns: int = 5000) -> list[Attribut
     return out
 
 
-def _lesser(cells: list[Column], names: list[str]) -> list[Column]:
-    return [F.min(c).alias(n) for c, n in zip(cells, names)]
+# A cell of a delta or run is a struct whose natural order is the rule of the merge, so that min and least give the cell that stays:
+# (value, version) where the smallest value counts, (-version, value) where the latest does. The version is the arrival.
+RULES = ("smallest", "latest")
+#: Buckets of a run; a task merges one bucket of all runs.
+BUCKETS = 32
 
 
-def wide_table(triples: DataFrame, prefixes: DataFrame, keep: str = "smallest", max_columns: int = 5000) -> tuple[DataFrame, list[Attribute]]:
+def _cell(value: Column, version: Column, rule: str) -> Column:
+    made = F.struct(value.alias("value"), version.alias("version")) if rule == "smallest" else F.struct((-version).alias("order"), value.alias("value"))
+    return F.when(value.isNotNull(), made)
+
+
+def full_names(triples: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The triples with a subject and predicate, names in full."""
+    return triples.filter(F.col("subject").isNotNull() & F.col("predicate").isNotNull()).select(
+        "subject", expand(F.col("predicate"), names).alias("predicate"), "object_type", expand(F.col("object_value"), names).alias("object_name"), "object_value", expand(F.col("datatype"), names).alias("datatype"), "staged_at")
+
+
+def delta(rows: DataFrame, attributes: list[Attribute], names: dict[str, str], rule: str = "smallest", by: list[str] | None = None) -> DataFrame:
+    """A sparse wide delta of ``full_names`` rows: one row per subject (and ``by``) with a cell of value and version per attribute.
+
+    A cell's version is the arrival of its value. Partial deltas are built before the shuffle, so that a hot subject
+    reaches no task as single rows.
+    """
+    if rule not in RULES:
+        raise ValueError(f"the rule must be one of {RULES}")
+    is_class = (F.col("predicate") == names.get("rdf", "rdf:") + "type") & (F.col("object_name") == names.get("owl", "owl:") + "Class")
+    version = F.coalesce(F.unix_micros("staged_at"), F.lit(0).cast("long"))
+    cells = [F.min(_cell(F.when((F.col("predicate") == a.predicate) & (F.col("object_type") == "literal"), readable(F.col("object_value"), a.kind)), version, rule)).alias(f"c{i}") for i, a in enumerate(attributes)]
+    return rows.groupBy(*(by or []), "subject").agg(F.max(F.coalesce(is_class, F.lit(False))).alias("is_class"), *cells)
+
+
+def write_run(rows: DataFrame, name: str, buckets: int = BUCKETS) -> DataFrame:
+    """``rows`` written as a sorted run: bucketed by subject, one sorted file per bucket, in the shared folder.
+
+    Runs of as many buckets are merged and compacted without a shuffle.
+    """
+    spark = rows.sparkSession
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{table}"
+    rows.repartition(buckets, "subject").write.bucketBy(buckets, "subject").sortBy("subject").option("path", path).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
+def upsert(state: DataFrame | None, new: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """The state (a run) with the delta ``new`` in it, as a new run: per cell the one that stays by the rule of both.
+
+    The delta becomes a run of its own, then both runs are merged bucket by bucket in the order of their subjects: only
+    the delta is shuffled, whatever the size of the state. Merging is associative and commutative and a repeated delta
+    changes nothing, so batches may arrive late, in any order, or again.
+    """
+    run = write_run(new, "wide_delta", buckets)
+    if state is None:
+        return run
+    a, b = state.alias("a"), run.alias("b")
+    columns = [c for c in state.columns if c not in ("subject", "is_class")]
+    merged = a.hint("merge").join(b, F.col("a.subject") == F.col("b.subject"), "full").select(
+        F.coalesce("a.subject", "b.subject").alias("subject"), (F.coalesce("a.is_class", F.lit(False)) | F.coalesce("b.is_class", F.lit(False))).alias("is_class"), *[F.least(f"a.{c}", f"b.{c}").alias(c) for c in columns])
+    return write_run(merged, "wide_state", buckets)
+
+
+def compact(runs: DataFrame) -> DataFrame:
+    """One row per subject of a table of many runs (a run with several rows per subject), without a shuffle."""
+    columns = [c for c in runs.columns if c not in ("subject", "is_class", "batch")]
+    return runs.groupBy("subject").agg(F.max("is_class").alias("is_class"), *[F.min(c).alias(c) for c in columns])
+
+
+def classes(state: DataFrame) -> DataFrame:
+    """The wide table of a state: subjects that are classes, with the values of their cells."""
+    columns = [c for c in state.columns if c not in ("subject", "is_class")]
+    return state.filter("is_class").select("subject", *[F.col(f"{c}.value").alias(c) for c in columns])
+
+
+def wide_table(triples: DataFrame, prefixes: DataFrame, rule: str = "smallest", max_columns: int = 5000, buckets: int = BUCKETS) -> tuple[DataFrame, list[Attribute]]:
     """One row per class subject with a typed column ``c0, c1, ...`` per attribute, in the order of the returned list.
 
-    Each arrival batch (month of ``staged_at``) becomes a sparse wide delta: one row per subject with, per cell, a version
-    and a value. The deltas are written as runs sorted by subject, and a compaction keeps per cell the value of the
-    winning version. ``keep='smallest'``: the version is the readable value itself, the smallest wins, as problem 3 asks;
-    ``keep='latest'``: the version is the arrival time (the smallest value on ties). Both merges are associative, so
-    any number of runs compacts in any order and a hot subject is aggregated before it is shuffled.
+    Log-structured upserts: each arrival batch (month of ``staged_at``) becomes a sparse wide delta with a version per cell;
+    the deltas are written as sorted runs, which are compacted by the rule: ``smallest`` keeps the smallest readable value, as
+    problem 3 asks, ``latest`` the value that arrived last (the smallest on ties). A later batch is added by ``upsert`` of its
+    ``delta`` without touching what is there.
 
-    Null subjects and predicates are dropped, values that do not fit their type give no cell, repeated rows change
-    nothing, a subject without readable values gets a row of nulls, an empty input gives an empty table with no cells.
-    dateTime cells hold seconds since 1970. Extra columns are ignored.
+    Null subjects and predicates are dropped, values that do not fit their type give no cell (``rejected`` lists them; that
+    includes integers of more than 38 digits and decimals of more than 28 before or 10 after the point, the bounds of a
+    column), repeated rows change nothing, a subject without readable values gets a row of nulls, an empty input gives an
+    empty table with no cells. dateTime cells hold seconds since 1970. Extra columns are ignored.
     """
     names = namespaces_of(prefixes)
-    rows = triples.filter(F.col("subject").isNotNull() & F.col("predicate").isNotNull()).select(
-        "subject", expand(F.col("predicate"), names).alias("predicate"), "object_type", "object_value", expand(F.col("datatype"), names).alias("datatype"), "staged_at")
+    rows = full_names(triples, names)
     attributes = attributes_of(rows.filter("object_type = 'literal'"), max_columns)
-    is_class = (F.col("predicate") == names.get("rdf", "rdf:") + "type") & (expand(F.col("object_value"), names) == names.get("owl", "owl:") + "Class")
-    rows = rows.withColumn("batch", F.date_format("staged_at", "yyyyMM"))
-
-    cells, columns = [], []
-    for i, a in enumerate(attributes):
-        value = F.when((F.col("predicate") == a.predicate) & (F.col("object_type") == "literal"), readable(F.col("object_value"), a.kind))
-        if keep == "latest":
-            value = F.when(value.isNotNull(), F.struct((-F.unix_micros("staged_at")).alias("version"), value.alias("value")))
-        cells.append(value)
-        columns.append(f"c{i}")
-    flag = F.max(is_class.cast("int")).alias("is_class")
-    delta = rows.groupBy("batch", "subject").agg(flag, *_lesser(cells, columns))
-    runs = staged(delta.sortWithinPartitions("batch", "subject"), "wide-runs", ["batch"])
-    merged = runs.groupBy("subject").agg(F.max("is_class").alias("is_class"), *_lesser([F.col(c) for c in columns], columns))
-    wide = merged.filter("is_class = 1").drop("is_class")
-    if keep == "latest":
-        wide = wide.select("subject", *[F.col(f"{c}.value").alias(c) for c in columns])
-    return wide, attributes
+    deltas = delta(rows.withColumn("batch", F.date_format("staged_at", "yyyyMM")), attributes, names, rule, ["batch"])
+    return classes(compact(write_run(deltas, "wide_runs", buckets))), attributes
+
+
+def rejected(triples: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(subject, predicate, kind, object_value): literals that give no cell because they do not fit their attribute's type."""
+    names = namespaces_of(prefixes)
+    rows = full_names(triples, names).filter("object_type = 'literal' and object_value is not null")
+    unfit = F.lit(False)
+    kind = F.lit(None).cast("string")
+    for a in attributes_of(rows):
+        if a.kind != "string":
+            here = F.col("predicate") == a.predicate
+            unfit = F.when(here, readable(F.col("object_value"), a.kind).isNull()).otherwise(unfit)
+            kind = F.when(here, F.lit(a.kind)).otherwise(kind)
+    return rows.filter(unfit).select("subject", "predicate", kind.alias("kind"), "object_value").distinct()
 
 
 def typed(wide: DataFrame, attributes: list[Attribute]) -> DataFrame:

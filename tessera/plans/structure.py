@@ -18,7 +18,15 @@ def p3_wide(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_wide_latest(spark: SparkSession, d: str) -> DataFrame:
-    return wide.typed(*wide.wide_table(table(spark, d, "triples"), table(spark, d, "prefixes"), keep="latest"))
+    return wide.typed(*wide.wide_table(table(spark, d, "triples"), table(spark, d, "prefixes"), rule="latest"))
+
+
+def p3_cells_latest(spark: SparkSession, d: str) -> DataFrame:
+    return wide.cells(*wide.wide_table(table(spark, d, "triples"), table(spark, d, "prefixes"), rule="latest"))
+
+
+def p3_rejected(spark: SparkSession, d: str) -> DataFrame:
+    return wide.rejected(table(spark, d, "triples"), table(spark, d, "prefixes"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +105,7 @@ tree as (
 
 _TRIPLES = """
 with full_names as (
-  select t.subject, t.object_type, t.object_value,
+  select t.subject, t.object_type, t.object_value, t.staged_at,
     coalesce(p.namespace || substr(t.predicate, length(p.prefix) + 2), t.predicate) as predicate,
     regexp_extract(t.datatype, '([^/#:]*)$', 1) as kind,
     coalesce(o.namespace || substr(t.object_value, length(o.prefix) + 2), t.object_value) as object_name
@@ -112,10 +120,10 @@ kinds as (
   select predicate, arg_min(kind, (-n, kind)) as kind from (
     select predicate, kind, count(*) as n from full_names where object_type = 'literal' and kind <> '' group by 1, 2) group by 1),
 literals as (
-  select f.subject, f.predicate, regexp_extract(f.predicate, '([^/#]*)$', 1) as column_name, k.kind, trim(f.object_value, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) as v
+  select f.subject, f.predicate, f.staged_at, regexp_extract(f.predicate, '([^/#]*)$', 1) as column_name, k.kind, trim(f.object_value, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) as v
   from full_names f join kinds k using (predicate) where f.object_type = 'literal' and f.subject in (select subject from classes)),
 parsed as (
-  select subject, column_name, kind,
+  select subject, column_name, kind, staged_at,
     case when kind = 'integer' and regexp_full_match(v, '[+-]?[0-9]+') then try_cast(v as decimal(38, 0)) end as i,
     case when kind = 'decimal' and regexp_full_match(v, '[+-]?[0-9]+(\\.[0-9]+)?') then try_cast(v as decimal(38, 10)) end as c,
     case when kind = 'boolean' then case when lower(v) in ('true', '1') then 1 when lower(v) in ('false', '0') then 0 end end as b,
@@ -127,7 +135,7 @@ parsed as (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_wide, p3_wide_latest, p4_found, p4_packages, p4_series, p4_samples, p4_channels, p4_organisms, p4_characteristics, p4_items, p6_found, p6_paths, p6_descendants, p6_subtrees)}
+    return {f.__name__: f for f in (p3_found, p3_wide, p3_wide_latest, p3_cells_latest, p3_rejected, p4_found, p4_packages, p4_series, p4_samples, p4_channels, p4_organisms, p4_characteristics, p4_items, p6_found, p6_paths, p6_descendants, p6_subtrees)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -141,6 +149,16 @@ select subject, column_name, cell from (
     when 'date' then strftime(min(d), '%Y-%m-%d')
     when 'dateTime' then strftime(make_timestamp(cast(min(s) * 1000000 as bigint)), '%Y-%m-%dT%H:%M:%SZ') end as cell
   from parsed group by 1, 2) where cell is not null""",
+        "p3_cells_latest": _TRIPLES + """
+, latest as (select *, row_number() over (partition by subject, predicate_column order by staged_at desc, i, c, b, d, s) as n from (
+    select *, column_name as predicate_column from parsed where i is not null or c is not null or b is not null or d is not null or s is not null))
+select subject, column_name, case kind
+    when 'integer' then cast(i as varchar)
+    when 'decimal' then cast(cast(c as decimal(38, 3)) as varchar)
+    when 'boolean' then case b when 0 then 'false' when 1 then 'true' end
+    when 'date' then strftime(d, '%Y-%m-%d')
+    when 'dateTime' then strftime(make_timestamp(cast(s * 1000000 as bigint)), '%Y-%m-%dT%H:%M:%SZ') end as cell
+  from latest where n = 1""",
         "p6_found": _TREE + "select m.term_key, coalesce(t.root, '') as root_term_key, coalesce(t.depth, -1) as depth from terms m left join tree t on t.id = m.term_key",
         "p6_paths": _TREE + "select m.term_key, coalesce(t.root, '') as root_term_key, coalesce(t.depth, -1) as depth, coalesce(t.path, '') as path from terms m left join tree t on t.id = m.term_key",
         "p6_subtrees": _TREE + """

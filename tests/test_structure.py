@@ -41,6 +41,31 @@ def test_wide_latest(spark):
     assert wide.typed(*wide.wide_table(df, prefixes(spark), "latest")).first()["n"] == 5
 
 
+def test_late_batches_in_any_order_agree(spark):
+    r = random.Random(3)
+    names = wide.namespaces_of(prefixes(spark))
+    rows = [(f"s{k}", "rdf:type", "uri", "owl:Class", "", "", "2020-01-01") for k in range(12)]
+    rows += [(f"s{r.randrange(15)}", f"attr:{r.choice('nm')}", "literal", str(r.randrange(-9, 9)), "", "xsd:integer", f"2020-0{r.randrange(1, 5)}-0{r.randrange(1, 9)}") for _ in range(200)]
+    df = spark.createDataFrame(rows, T.replace("staged_at timestamp", "s string")).withColumn("staged_at", F.to_timestamp("s")).drop("s")
+    full = wide.full_names(df, names).cache()
+    attributes = wide.attributes_of(full.filter("object_type = 'literal'"))
+    batches = [full.filter(F.month("staged_at") == m) for m in (1, 2, 3, 4)]
+    for rule in wide.RULES:
+        want = sorted(map(tuple, wide.cells(*wide.wide_table(df, prefixes(spark), rule)).collect()))
+        for order in ((0, 1, 2, 3), (3, 1, 0, 2, 1)):  # in order; late, and one batch twice
+            state = None
+            for k in order:
+                state = wide.upsert(state, wide.delta(batches[k], attributes, names, rule), buckets=4)
+            assert sorted(map(tuple, wide.cells(wide.classes(state), attributes).collect())) == want and len(want) > 15
+    plan = wide.compact(wide.write_run(wide.delta(full, attributes, names), "run", 4))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_rejected(spark):
+    rows = [("A", "attr:n", "literal", v, "xsd:integer") for v in ("1", "x", "x", "9" * 40)] + [("A", "attr:t", "literal", "free", "")]
+    assert {(r["kind"], r["object_value"]) for r in wide.rejected(triples(spark, rows), prefixes(spark)).collect()} == {("integer", "x"), ("integer", "9" * 40)}
+
+
 def test_wide_clash_and_empty(spark):
     rows = [("A", "rdf:type", "uri", "owl:Class", ""), ("A", "attr:n", "literal", "1", "xsd:integer"), ("A", "http://other#n", "literal", "x", "")]
     made, attributes = wide.wide_table(triples(spark, rows), prefixes(spark))
