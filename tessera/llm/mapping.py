@@ -174,11 +174,12 @@ def similar_words(typed: DataFrame, meant: DataFrame) -> DataFrame:
     parts = 3 * spark.sparkContext.defaultParallelism
 
     @F.pandas_udf("array<int>")
-    def buckets(s):
-        return s.map(lambda x: [t % BUCKETS for t in tokens_of(x)])
+    def buckets(kind, unit):
+        """Of the word's tokens and of those that end its starts."""
+        return pd.Series([sorted({t % BUCKETS for t in tokens_of(x).union(*(tokens_of(x[:n]) for n in range(3, len(x) - 1) if k == "w"))}) for k, x in zip(kind, unit)])
 
     table = np.zeros(BUCKETS, np.int32)
-    for r in meant.select(F.explode(buckets("unit")).alias("b")).groupBy("b").count().collect():  # at most BUCKETS rows
+    for r in meant.select(F.explode(buckets("kind", "unit")).alias("b")).groupBy("b").count().collect():  # at most BUCKETS rows
         table[r["b"]] = min(r["count"], np.iinfo(np.int32).max)
     rarity = spark.sparkContext.broadcast(table)
 

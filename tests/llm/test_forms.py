@@ -73,13 +73,13 @@ def test_prefixes_meet_all_similar_words(spark):
     r = random.Random(5)
     letters = "abcdefghiklmnoprstu"
     word = lambda a, b: "".join(r.choices(letters, k=r.randint(a, b)))
-    meant = sorted({"organism", "preservation", "aaaa", "abab", "a", "of", "age", *(word(3, 14) for _ in range(120))})
+    meant = sorted({"condition", "xyzwvqy", "organism", "preservation", "aaaa", "abab", "a", "of", "age", *(word(3, 14) for _ in range(120))})
 
     def slip(s):
         i = r.randrange(0, len(s))
         return r.choice([s[:i] + s[i + 1 :], s[:i] + r.choice(letters) + s[i:], s[:i] + r.choice(letters) + s[i + 1 :], s[: max(0, i - 1)] + s[i : i + 1] + s[max(0, i - 1) : i] + s[i + 1 :]])
 
-    typed = sorted({x for w in meant for x in (w, w[:3], w[: len(w) // 2], *(slip(w) for _ in range(6)), *(slip(slip(w)) for _ in range(6) if len(w) > 1)) if x})
+    typed = sorted({x for w in meant for x in (w, w[:3], w[:5], w[: len(w) // 2], *(slip(w) for _ in range(6)), *(slip(slip(w)) for _ in range(6) if len(w) > 1)) if x})
     frame = lambda words: spark.createDataFrame([("w", w) for w in words] + [("j", w) for w in words if len(w) >= 6], "kind string, unit string")
     got = {(x["kind"], x["unit"], x["meant"]) for x in mapping.similar_words(frame(typed), frame(meant)).collect()}
     want = {("w", a, b) for a in typed for b in meant if mapping.word_cost(a, b) is not None}
