@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +15,11 @@ from tessera.session import staged
 
 #: Bits of filter per record and hash functions; with these about one single record in 50 looks like a possible repeat.
 BITS_PER_ROW, HASHES = 16, 3
-#: Largest filter: 2**28 bits, 32 MB, which bounds what is sent to the driver and to every executor. Beyond 16 million
-#: records it fills up: more single records then look like possible repeats and go into the exact grouping; no result changes.
+#: Largest filter: 2**28 bits, 32 MB, for 16 million records, which bounds what is sent to the driver and to every executor.
+#: More records are dealt by hash into shards of at most so many, each with a filter of its own, so that filters never fill up.
 MAX_LOG_BITS = 28
+#: Shards that are worked on at the same time.
+AT_ONCE = 4
 #: Bits of one piece of a filter, the unit that is merged.
 _PIECE = 1 << 20
 
@@ -112,30 +116,42 @@ def repeat_filter(hashed: DataFrame, log_bits: int) -> np.ndarray:
 def copy_groups(records: DataFrame, key: str, payload: str) -> DataFrame:
     """(key, first_id, copies): every record with the smallest key of its group of copies and the group's size.
 
-    Records are copies when they have the same set of names, each with the same content. Pass 1 fills Bloom filters of
-    the hashes seen once and seen again; pass 2 sends through the exact grouping only records whose hash may be a
+    Records are copies when they have the same set of names, each with the same content. Records are dealt into shards by
+    hash, 16 million each; in every shard pass 1 fills Bloom filters of the hashes seen once and seen again; pass 2 sends through the exact grouping only records whose hash may be a
     repeat, and all others come out as groups of one without a shuffle. The grouping compares 128 bits of the canonical
     text (two independent hashes) and counts before it shuffles; a group that holds a third of all rows meets its
     summary by broadcast. A record with a null payload has no content to compare and is a group of its own; empty
     payloads are copies of each other; several rows of one key count as copies.
     """
-    items = F.array_join(canonical_items(F.col(payload)), "\x1f")
-    hashed = records.select(key, F.xxhash64(items).alias("h"), F.when(F.col(payload).isNotNull(), F.substring(F.md5(items), 1, 16)).alias("g"))
-    hashed = staged(hashed, "hashes")
-    n = hashed.count()
-    log_bits = min(MAX_LOG_BITS, max(20, math.ceil(math.log2(max(1, n) * BITS_PER_ROW))))
-    bits = hashed.sparkSession.sparkContext.broadcast(repeat_filter(hashed.filter("g is not null").select("h"), log_bits))
-
-    @F.pandas_udf("boolean")
-    def may_repeat(h):
-        hit = np.ones(len(h), bool)
-        for at in _places(h.to_numpy().astype(np.int64), log_bits):
-            hit &= (bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-        import pandas as pd
-
-        return pd.Series(hit)
-
-    marked = staged(hashed.withColumn("maybe", F.col("g").isNotNull() & may_repeat("h")), "marked")
+    spark = records.sparkSession
+    items = records.select(key, payload, F.array_join(canonical_items(F.col(payload)), "\x1f").alias("_items"))
+    made = items.select(key, F.xxhash64("_items").alias("h"), F.when(F.col(payload).isNotNull(), F.substring(F.md5("_items"), 1, 16)).alias("g"))
+    rows = records.count()
+    shards = max(1, math.ceil(rows * BITS_PER_ROW / (1 << MAX_LOG_BITS)))
+    # Rows are written into their shards by the tasks that read them: no shuffle, and a shard's filter reads its own files only.
+    hashed = staged(made.withColumn("shard", F.pmod(F.shiftright("h", 40), F.lit(shards)).cast("int")), "hashes", ["shard"] if shards > 1 else None)
+    log_bits = min(MAX_LOG_BITS, max(20, math.ceil(math.log2(max(1, rows / shards) * BITS_PER_ROW))))
+
+    def mark(shard: int) -> DataFrame:
+        own = hashed.filter(F.col("shard") == shard)
+        bits = spark.sparkContext.broadcast(repeat_filter(own.filter("g is not null").select("h"), log_bits))
+
+        @F.pandas_udf("boolean")
+        def may_repeat(h):
+            hit = np.ones(len(h), bool)
+            for at in _places(h.to_numpy().astype(np.int64), log_bits):
+                hit &= (bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+            import pandas as pd
+
+            return pd.Series(hit)
+
+        marked = staged(own.select(key, "h", "g", (F.col("g").isNotNull() & may_repeat("h")).alias("maybe")), "marked")
+        bits.unpersist()
+        return marked
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        parts = list(pool.map(mark, range(shards)))
+    marked = reduce(DataFrame.unionByName, parts)
     maybe = marked.filter("maybe")
     groups = maybe.groupBy("h", "g").agg(F.min(key).alias("first_id"), F.count("*").alias("copies"))
     repeats = groups.filter("copies > 1")

@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,8 +24,8 @@ def test_copies(spark):
     assert groups(spark, []) == {}
 
 
-def test_copies_hot_and_filter_full(spark, monkeypatch):
-    monkeypatch.setattr(copies, "MAX_LOG_BITS", 8)  # far too small: every record goes to the exact grouping
+def test_copies_hot_and_in_shards(spark, monkeypatch):
+    monkeypatch.setattr(copies, "MAX_LOG_BITS", 12)  # shards of 256 records
     r = random.Random(1)
     p = [f'{{"v": "{k}"}}' for k in range(300)] + ['{"v": "hot"}'] * 200 + [f"v={r.randrange(400)}" for _ in range(200)]
     got = groups(spark, p)
@@ -34,6 +35,18 @@ def test_copies_hot_and_filter_full(spark, monkeypatch):
     assert got == {k: (min(ks), len(ks)) for ks in by.values() for k in ks}
 
 
+def test_full_shard_keeps_singles_apart(spark):
+    """A shard is never fuller than this one, whatever the number of records: under 5 % of its singles look like repeats."""
+    log_bits, singles, twice = 20, 60_000, 5_000
+    rows = spark.range(singles + 2 * twice).select(F.xxhash64(F.when(F.col("id") < singles, F.col("id")).otherwise(-1 - F.col("id") % twice)).alias("h"))
+    bits = copies.repeat_filter(rows, log_bits)
+    h = rows.distinct().toPandas()["h"].to_numpy()
+    hit = np.ones(len(h), bool)
+    for at in copies._places(h, log_bits):
+        hit &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    assert twice <= hit.sum() <= twice + 0.05 * singles
+
+
 @pytest.mark.parametrize("blocks", [1, 256])
 def test_counts(spark, monkeypatch, blocks):
     monkeypatch.setattr(frequency, "OPEN_BLOCKS", blocks)
