@@ -2,52 +2,97 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.tokens import token_sizes
+from tessera.operators.skew import running_sum
 from tessera.session import staged
 
 CAPACITY = 2048
 _ROW = "kind int, key long, val long, container long, part int, rank long"
 
 
-def _local(batches):
-    """Best fit within one range, rows by falling val, gaps before items: every item takes the smallest gap that holds it.
+#: Rows of one range, which one task sweeps.
+RANGE_ROWS = 50_000
+
+
+def _swept(rows, out):
+    """Best fit within one range; rows (kind, key, val) by falling val, gaps before items: every item takes the smallest gap that holds it.
 
-    A gap that took an item goes on with what is left of it. Unmatched items are ranked in order, largest first; gaps that
-    still hold the smallest value of the range, and with it everything in lower ranges, are ranked smallest first.
+    Gaps are kept by size, one bit per size that has some, so an item's gap is found without looking at the others. A gap that
+    took an item goes on with what is left of it. Unmatched items are ranked in order, largest first; gaps that still hold the
+    smallest value of the range, and with it everything in lower ranges, are ranked smallest first.
     """
-    gaps: list[tuple[int, int]] = []
+    by_size: dict[int, list[int]] = {}
+    sizes = 0
     items: list[tuple[int, int, int | None]] = []
-    part, least = 0, None
-    for batch in batches:
-        for kind, key, val, part in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            least = val
-            if kind == 0:
-                insort(gaps, (-val, key))
-                continue
-            i = bisect_right(gaps, (-val, 1 << 62)) - 1
-            if i < 0:
+    least = 0
+    for kind, key, val in rows:
+        least = val
+        if kind == 0:
+            left, container = val, key
+        else:
+            fitting = sizes >> val
+            if not fitting:
                 items.append((key, val, None))
                 continue
-            left, container = gaps.pop(i)
+            size = val + (fitting & -fitting).bit_length() - 1
+            container = by_size[size].pop()
+            if not by_size[size]:
+                sizes &= ~(1 << size)
             items.append((key, val, container))
-            insort(gaps, (left + val, container))
-    rows, rank = [], 0
+            left = size - val
+        by_size.setdefault(left, []).append(container)
+        sizes |= 1 << left
+    rank = 0
     for key, val, container in items:
-        rows.append((1, key, val, container, part, rank if container is None else None))
+        out.append((1, key, val, container, rank if container is None else None))
         rank += container is None
     rank = 0
-    for neg, container in reversed(gaps):
-        holds = -neg >= least and neg < 0
-        rows.append((0, container, -neg, None, part, rank if holds else None))
-        rank += holds
-    for at in range(0, len(rows), 50_000):
-        cols = list(zip(*rows[at : at + 50_000]))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["kind", "key", "val", "container", "part", "rank"])
+    for size in sorted(by_size):
+        for container in by_size[size]:
+            holds = 0 < size and size >= least
+            out.append((0, container, size, None, rank if holds else None))
+            rank += holds
+
+
+def _local(batches):
+    """All ranges of a task, which come one after the other."""
+    current, rows = None, []
+
+    def flush():
+        out: list[tuple] = []
+        _swept(rows, out)
+        for at in range(0, len(out), 50_000):
+            kind, key, val, container, rank = zip(*out[at : at + 50_000])
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.int64()), pa.array(val, pa.int64()), pa.array(container, pa.int64()), pa.array([current] * len(kind), pa.int32()), pa.array(rank, pa.int64())], ["kind", "key", "val", "container", "part", "rank"])
+
+    for batch in batches:
+        for kind, key, val, part in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            if part != current:
+                if rows:
+                    yield from flush()
+                current, rows = part, []
+            rows.append((kind, key, val))
+    if rows:
+        yield from flush()
+
+
+def _ranges(counts: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(val, first range, ranges): ranges of about RANGE_ROWS rows over falling sizes; a size of more rows gets several by hash."""
+    out, part, filled = [], 0, 0
+    for val in sorted(counts, reverse=True):
+        n = counts[val]
+        if filled and filled + n > RANGE_ROWS:
+            part, filled = part + 1, 0
+        pieces = max(1, -(-n // RANGE_ROWS))
+        out.append((val, part, pieces))
+        if pieces > 1:
+            part, filled = part + pieces, 0
+        else:
+            filled += n
+    return out
 
 
 def _plan(counts: dict[tuple[int, int], int], parts: list[int]) -> list[tuple[int, int, int, int, int]]:
@@ -71,11 +116,15 @@ def _plan(counts: dict[tuple[int, int], int], parts: list[int]) -> list[tuple[in
     return out
 
 
-def _sweep(rows: DataFrame, parts: int) -> DataFrame:
+def _sweep(rows: DataFrame) -> DataFrame:
     """One superstep over gaps (kind 0) and items (kind 1) with their val: the same rows after it, items with container if matched."""
     spark = rows.sparkSession
-    ranged = rows.select("kind", "key", "val").repartitionByRange(parts, F.desc("val"), "kind", F.xxhash64("key")).sortWithinPartitions(F.desc("val"), "kind", "key")
-    swept = staged(ranged.select("kind", "key", "val", F.spark_partition_id().alias("part")).mapInArrow(_local, _ROW), "swept")
+    counts = {r["val"]: r["count"] for r in rows.groupBy("val").count().collect()}  # at most one row per size
+    ranges = _ranges(counts)
+    table = F.broadcast(spark.createDataFrame(ranges, "val long, first int, pieces int"))
+    ranged = rows.select("kind", "key", "val").join(table, "val").select("kind", "key", "val", (F.col("first") + F.pmod(F.xxhash64("key"), F.col("pieces"))).cast("int").alias("part"))
+    ranged = ranged.repartition(max((a + n for _, a, n in ranges), default=1), "part").sortWithinPartitions("part", F.desc("val"), "kind", "key")
+    swept = staged(ranged.mapInArrow(_local, _ROW), "swept")
     counts = {(r["part"], r["kind"]): r["count"] for r in swept.filter("rank is not null").groupBy("part", "kind").count().collect()}
     plan = _plan(counts, sorted({p for p, _ in counts}))
     if not plan:
@@ -117,7 +166,7 @@ def _opened(items: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame]:
     return items.filter(is_seed), items.filter(~is_seed)
 
 
-def pack(sizes: DataFrame, capacity: int = CAPACITY, parts: int | None = None) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(container, <columns of sizes>, piece, piece_tokens) for sizes with a ``tokens`` column.
 
     Only an item larger than ``capacity`` is split: into full containers and one rest, which is packed like any item.
@@ -125,18 +174,20 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, parts: int | None = None) -
     superstep, items and gaps are range-sorted together by size; within a range items take the smallest gap that holds
     them, items left over take gaps of the nearest higher range, matched by rank so that no gap is given twice; gaps are
     updated, and this repeats until no item fits any gap. The items left open new containers, and so on. Ranges are cut
-    by size and hash, so a third of all items having one size is no hot spot; one number per range and a histogram
-    of sizes are all the driver sees. Items of 0 or null tokens (null, empty texts) are put into the first container that
-    exists, or container 0. Repeated rows are items of their own. The same input rows give a valid, not always the same, packing.
+    by size and hash and hold about RANGE_ROWS rows, so a third of all items having one size is no hot spot; one number per
+    range and a histogram of sizes are all the driver sees. Items of 0 or null tokens (null, empty texts) are put into the first container that
+    exists, or container 0. Repeated rows are items of their own. The same input rows give the same packing, whatever the partitioning.
     """
     spark = sizes.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sizes = sizes.withColumn("tokens", F.coalesce(F.col("tokens").cast("long"), F.lit(0).cast("long")))
     n = F.floor((F.col("tokens") + capacity - 1) / capacity)
     pieces = sizes.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(1)).cast("int") - 1)))
     pieces = pieces.withColumn("piece_tokens", F.least(F.lit(capacity).cast("long"), F.col("tokens") - F.col("piece") * capacity))
-    pieces = staged(pieces.withColumn("key", F.monotonically_increasing_id()), "pieces")
-    items = pieces.select("key", F.col("piece_tokens").alias("val"))
+    # Keys are places in the order of sizes and contents, so they are the same in every run; equal rows are interchangeable.
+    hashed = pieces.withColumn("_one", F.lit(1).cast("long")).withColumn("_hash", F.xxhash64(*[c for c, t in pieces.dtypes if "map<" not in t]))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pieces = staged(running_sum(hashed, ["piece_tokens", "_hash"], "_one", "_key", parts, lambda x: staged(x, "ordered")).drop("_one", "_hash"), "pieces")
+    items = pieces.select(F.col("_key").alias("key"), F.col("piece_tokens").alias("val"))
     homes = [items.filter(F.col("val") == capacity).select("key", F.col("key").alias("container"))]
     items = items.filter((F.col("val") > 0) & (F.col("val") < capacity))
     gaps, left = None, items.count()
@@ -148,7 +199,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, parts: int | None = None) -
         gaps = new if gaps is None else gaps.unionByName(new)
         rows = gaps.unionByName(rest.select(F.lit(1).alias("kind"), "key", "val"))
         while True:
-            after = _sweep(rows, parts)
+            after = _sweep(rows)
             placed = after.filter("kind = 1 and container is not null").select("key", "container")
             homes.append(placed)
             items = after.filter("kind = 1 and container is null").select("key", "val")
@@ -166,7 +217,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, parts: int | None = None) -
         whole = whole.unionByName(h)
     whole = staged(whole, "homes")
     first = whole.agg(F.min("container")).first()[0] or 0
-    return pieces.join(whole, "key", "left").select(F.coalesce("container", F.lit(first)).alias("container"), *sizes.columns, "piece", "piece_tokens")
+    return pieces.join(whole.withColumnRenamed("key", "_key"), "_key", "left").select(F.coalesce("container", F.lit(first)).alias("container"), *sizes.columns, "piece", "piece_tokens")
 
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:

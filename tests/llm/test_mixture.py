@@ -9,7 +9,10 @@ from tessera.llm import mixing, packing, tokens
 
 def check(spark, sizes, capacity, slack):
     df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, tokens long").withColumn("key", F.lit("clash")).withColumn("val", F.lit(0))
-    rows = packing.pack(df, capacity, 4).collect()
+    rows = packing.pack(df, capacity).collect()
+    assert all(r["key"] == "clash" and r["val"] == 0 for r in rows)
+    again = packing.pack(df.repartition(7), capacity).collect()
+    assert sorted((r["doc_id"], r["piece"], r["container"]) for r in again) == sorted((r["doc_id"], r["piece"], r["container"]) for r in rows)
     filled, pieces = {}, {}
     for r in rows:
         filled[r["container"]] = filled.get(r["container"], 0) + r["piece_tokens"]
@@ -28,6 +31,16 @@ def test_random_sizes(spark):
     check(spark, [min(5000, int(r.lognormvariate(4.5, 1.2))) for _ in range(1500)] + [0], 1000, 1.03)
 
 
+def test_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE_ROWS", 40)
+    r = random.Random(2)
+    check(spark, [r.choice((70, 70, r.randrange(1, 100))) for _ in range(600)], 100, 1.35)
+
+
+def test_ranges():
+    assert packing._ranges({5: 10, 3: 60_000, 2: 120_000, 1: 4}) == [(5, 0, 1), (3, 1, 2), (2, 3, 3), (1, 6, 1)]
+
+
 def test_equal_and_hard_sizes(spark):
     check(spark, [40] * 300 + [7] * 50, 100, 1.3)
     check(spark, [60] * 40 + [41] * 40, 100, 1.7)
