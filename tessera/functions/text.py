@@ -19,6 +19,24 @@ def chunk_text(**parts: Column) -> Column:
     return F.concat_ws("\n", *lines)
 
 
+def term_chunk(ontology_id: Column, title: Column, synonyms: Column, description: Column, accession: Column, iri: Column) -> Column:
+    """The text a term is embedded by: six labelled lines, missing parts empty. synonyms: array of texts."""
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    given = F.array_join(F.filter(synonyms, lambda s: s.isNotNull() & (s != "")), "; ")
+    lines = (("Ontology", ontology_id), ("Term", title), ("Synonyms", given), ("Description", description), ("Accession", accession), ("IRI", iri))
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{name}: "), empty(value)) for name, value in lines])
+
+
+def folded_case(text: Column) -> Column:
+    """Text for comparisons without case, by the full Unicode folding (``ß`` is ``ss``); ASCII stays on the JVM."""
+
+    @F.pandas_udf("string")
+    def fold(s):
+        return s.str.casefold()
+
+    return F.when(text.rlike(r"[^\x00-\x7f]"), fold(text)).otherwise(F.lower(text))
+
+
 def file_name(url: Column) -> Column:
     """The last segment of a URL's path, or null."""
     return F.nullif(F.regexp_extract(F.regexp_replace(url, "[?#].*$", ""), "^[a-z]+://[^/]+/(?:.*/)?([^/]+)$", 1), F.lit(""))
@@ -37,8 +55,8 @@ def looks_like_html(head: Column) -> Column:
 
 def valid_queries(rows: DataFrame, by: str, limit: int = 3, forbidden: str = r"\[(?i:filter|dataset)\]") -> DataFrame:
     """(by, n, problem) of every reply's query texts: problem is null or the first of empty, too_many, duplicate, filter."""
-    text = F.lower(collapse(F.col("query")))
-    made = rows.groupBy(by).agg(F.count("*").alias("n"), F.count_distinct(text).alias("d"), F.bool_or(F.coalesce(text, F.lit("")) == "").alias("e"), F.bool_or(F.coalesce(F.col("query").rlike(forbidden), F.lit(False))).alias("f"))
+    text = F.col("_folded")
+    made = rows.withColumn("_folded", folded_case(collapse(F.col("query")))).groupBy(by).agg(F.count("*").alias("n"), F.count_distinct(text).alias("d"), F.bool_or(F.coalesce(text, F.lit("")) == "").alias("e"), F.bool_or(F.coalesce(F.col("query").rlike(forbidden), F.lit(False))).alias("f"))
     problem = F.when(F.col("e"), "empty").when(F.col("n") > limit, "too_many").when(F.col("d") < F.col("n"), "duplicate").when(F.col("f"), "filter")
     return made.select(by, "n", problem.alias("problem"))
 

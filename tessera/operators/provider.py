@@ -22,6 +22,12 @@ def remote_hits(documents: DataFrame, by: list[str], rows: int = 25) -> DataFram
     return whole.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "id").orderBy("position"))).filter("_n = 1").drop("_n")
 
 
+def ontology_metadata(replies: DataFrame) -> DataFrame:
+    """(ontology_id, title, version, iri, n_terms) of staged metadata replies (ontology_id, payload JSON); one that is no object gives nulls."""
+    at = lambda p: F.get_json_object("payload", p)
+    return replies.select("ontology_id", F.coalesce(at("$.config.title"), at("$.title")).alias("title"), F.coalesce(at("$.config.version"), at("$.version")).alias("version"), F.coalesce(at("$.config.id"), at("$.iri")).alias("iri"), at("$.numberOfTerms").try_cast("bigint").alias("n_terms"))
+
+
 def compact(hits: DataFrame, by: list[str], fields: list[str], limit: int = 10) -> DataFrame:
     """(by, candidates): the first ``limit`` hits by ``position`` as one JSON list, null members left out, descriptions clipped."""
     cells = [clipped(F.col(c)).alias(c) if c == "description" else F.col(c) for c in fields]
@@ -62,12 +68,12 @@ def layered(defaults: dict, overrides: dict | None) -> dict:
     return out
 
 
-def check_settings(threshold: float = 0.5, parent_depth: int = 2, child_depth: int = 1, offset: float = 0.1, limit: int = 10) -> None:
-    """Errors for settings out of range: threshold in [-1, 1], depths at least 0, offset in [0, 2], limit at least 1."""
+def check_settings(threshold: float = 0.5, parent_depth: int = 2, child_depth: int = 1, offset: float = 0.1, limit: int = 10, max_queries: int = 3) -> None:
+    """Errors for settings out of range: threshold in [-1, 1], depths at least 0, offset in [0, 2], limit at least 1, max_queries in [1, 3]."""
     def number(x):
         return isinstance(x, (int, float)) and not isinstance(x, bool) and x == x and abs(x) != float("inf")
 
     whole = lambda x: isinstance(x, int) and not isinstance(x, bool)
-    for ok, what in ((number(threshold) and -1 <= threshold <= 1, "threshold"), (whole(parent_depth) and parent_depth >= 0, "parent_depth"), (whole(child_depth) and child_depth >= 0, "child_depth"), (number(offset) and 0 <= offset <= 2, "offset"), (whole(limit) and limit >= 1, "limit")):
+    for ok, what in ((number(threshold) and -1 <= threshold <= 1, "threshold"), (whole(parent_depth) and parent_depth >= 0, "parent_depth"), (whole(child_depth) and child_depth >= 0, "child_depth"), (number(offset) and 0 <= offset <= 2, "offset"), (whole(limit) and limit >= 1, "limit"), (whole(max_queries) and 1 <= max_queries <= 3, "max_queries")):
         if not ok:
             raise ValueError(f"{what} is out of range")

@@ -150,6 +150,32 @@ def extract_targets(records: DataFrame, key: str = "record_id", text: str = "met
     return records.select(key, text).mapInArrow(run, f"{key} {dict(records.dtypes)[key]}, {TARGET}")
 
 
+def resolved_values(records: DataFrame, paths: DataFrame, key: str = "record_id", text: str = "metadata") -> DataFrame:
+    """(key, path, value): the value at every distinct JSON Pointer (key, path) of a record as text; null where there is none or only a container.
+
+    A record is parsed once for all its pointers, which are bounded by the record; null pointers are left out.
+    """
+    lists = paths.select(key, "path").dropna().groupBy(key).agg(F.array_sort(F.collect_set("path")).alias("paths"))
+
+    def run(batches):
+        for batch in batches:
+            at, rows = [], []
+            for i, (value, own) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                try:
+                    document = json.loads(value) if value is not None else None
+                except (ValueError, RecursionError):
+                    document = None
+                for path in own:
+                    x = resolve(document, path)
+                    at.append(i)
+                    rows.append((path, x if isinstance(x, str) else json.dumps(x) if _scalar(x) else None))
+            if rows:
+                cols = [pa.array(c, pa.string()) for c in zip(*rows)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *cols], [key, "path", "value"])
+
+    return records.select(key, text).join(lists, key).mapInArrow(run, f"{key} {dict(records.dtypes)[key]}, path string, value string")
+
+
 def dedupe_targets(targets: DataFrame, document: str = "record_id") -> DataFrame:
     """One target per document, field and label: the first, with all occurrences in order and dense new ids.
 

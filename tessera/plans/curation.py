@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions import keys, text
-from tessera.operators import catalog, fts, graph, lookup, pool, targets, vector, writeback
+from tessera.operators import catalog, fts, graph, harmonize, lookup, pool, registry, store, targets, vector, writeback
 from tessera.operators.nested import flat_items
 from tessera.sources import ontology
-from tessera.session import staged, table
+from tessera.session import shared_dir, staged, table
 
+#: Keys of labels that say nothing.
+EMPTY = ("", "n/a", "not_applicable", "unknown", "none", "missing")
 TYPES, VOCAB = "http://types.terms.example/", "http://vocab.terms.example/"
 
 
@@ -75,21 +80,26 @@ def field_resolve(spark: SparkSession, d: str) -> DataFrame:
 
 
 def alias_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Every second entry claims the name of the entry before it, in other writing."""
     r = table(spark, d, "reference_values").select(F.col("ref_id").alias("field_id"), "canonical", "aliases")
-    return lookup.alias_conflicts(r)
+    claims = r.filter("field_id % 2 = 0").select((F.col("field_id") + 1).alias("field_id"), F.concat(F.lit(" "), F.upper("canonical"), F.lit(".")).alias("canonical"), F.array().cast("array<string>").alias("aliases"))
+    return lookup.alias_conflicts(r.unionByName(claims))
 
 
 def local_enrichment(spark: SparkSession, d: str) -> DataFrame:
-    """Terms known by IRI only, filled from the store."""
+    """Terms known by one identifier, written in capitals, and some by title, filled from the store's terms that have a description."""
     local = _terms(spark, d).select("id", "accession", "iri", "title", "description", F.col("term_key").alias("ordinal"))
-    asked = local.select(F.col("ordinal").alias("key"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("accession"), F.upper("iri").alias("iri"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("description"))
-    return lookup.enriched(asked, local, "key", ["title", "description"]).select("key", "title", "description")
+    by_iri, titled = F.length("ordinal") % 2 == 0, F.length("iri") % 3 == 0
+    none = F.lit(None).cast("string")
+    asked = local.select(F.col("ordinal").alias("key"), none.alias("id"), F.when(~by_iri, F.upper("accession")).alias("accession"), F.when(by_iri, F.upper("iri")).alias("iri"), F.when(titled, F.lit("own title")).alias("title"), none.alias("description"))
+    return lookup.enriched(asked, local.filter("description is not null"), "key", ["title", "description"]).select("key", "title", "description")
 
 
 def decision_match(spark: SparkSession, d: str) -> DataFrame:
-    """Decisions that name a candidate by its IRI, among all terms of its ontology."""
-    c = _terms(spark, d).select("ontology_id", "id", "accession", "iri", "term_key", F.col("term_key").alias("position"))
-    return lookup.chosen(c.select("ontology_id", "iri").groupBy("ontology_id").agg(F.max("iri").alias("decision")), c, ["ontology_id"]).select("ontology_id", "decision", "term_key")
+    """Every label's decision names the last of its exact hits by IRI."""
+    hits = exact_lookup(spark, d).join(_terms(spark, d).select("ontology_id", "term_key", "id", "accession", "iri"), ["ontology_id", "term_key"])
+    candidates = staged(hits.withColumn("position", F.concat_ws(" ", "ontology_id", F.lpad(F.col("position").cast("string"), 9, "0"))), "candidates")
+    return lookup.chosen(candidates.groupBy("target_id").agg(F.max("iri").alias("decision")), candidates, ["target_id"]).select("target_id", "decision", "ontology_id", "term_key")
 
 
 def _targets(spark: SparkSession, d: str) -> DataFrame:
@@ -122,7 +132,7 @@ def target_additions(spark: SparkSession, d: str) -> DataFrame:
 
 def target_prunes(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "targets")
-    empty = t.filter(keys.harmonize_key(F.col("pre_hz_label")).isin("", "n/a", "not_applicable", "unknown", "none", "missing")).select("record_id", F.col("id").alias("target_id"))
+    empty = t.filter(keys.harmonize_key(F.col("pre_hz_label")).isin(*EMPTY)).select("record_id", F.col("id").alias("target_id"))
     return targets.pruned(t, empty).select("target_id")
 
 
@@ -141,12 +151,17 @@ def metadata_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 def write_back(spark: SparkSession, d: str) -> DataFrame:
-    results = table(spark, d, "targets").select("record_id", F.col("target_id").alias("ordinal"), "pre_hz_field_path", "pre_hz_label_path", "parent_path", "hz_field", "hz_label", F.lit(None).cast("string").alias("term_id"), F.lit(None).cast("string").alias("onto"))
-    return writeback.write_back(table(spark, d, "miniml_records"), results)
+    """The stored results with the term of their label, where it has exactly one."""
+    t = table(spark, d, "targets").select("record_id", F.col("target_id").alias("ordinal"), "pre_hz_field_path", "pre_hz_label_path", "parent_path", "hz_field", "hz_label")
+    hits = lookup.exact_lookup(t.filter("hz_label is not null").select("ordinal", F.col("hz_label").alias("label")), table(spark, d, "lookup_entries"))
+    terms = lookup.unique_hits(hits, ["ordinal"]).select("ordinal", F.col("term_key").alias("term_id"), F.col("ontology_id").alias("onto"))
+    return writeback.write_back(table(spark, d, "miniml_records"), t.join(terms, "ordinal", "left"))
 
 
 def json_pointer(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    """The value each target's label was read from, and that of the member after a missing name."""
+    paths = table(spark, d, "targets").select("record_id", F.explode(F.array("pre_hz_label_path", F.concat("parent_path", F.lit("/no such")))).alias("path"))
+    return targets.resolved_values(table(spark, d, "miniml_records"), paths)
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -218,23 +233,107 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "reference_values").select(F.col("ref_id").alias("query_id"), F.col("canonical").alias("label"))
+    """The searches: labels of the targets whose id is divisible by 100."""
+    return table(spark, d, "targets").filter("target_id % 100 = 0 and pre_hz_label is not null").select(F.col("target_id").alias("query_id"), F.col("pre_hz_label").alias("label"))
+
+
+def _store(spark: SparkSession, d: str) -> str:
+    """The folder of the stored indexes of a data folder's ontologies; made once per application."""
+    folder = f"{shared_dir(spark)}/store-{hashlib.md5(d.encode()).hexdigest()[:12]}"
+    if not store.exists(spark, folder, "manifest"):
+        terms = table(spark, d, "terms")
+        manifest = terms.groupBy("ontology_id").agg(F.count("*").alias("size"), F.max(F.unix_micros("indexed_at")).alias("mtime_ns")).select("ontology_id", F.concat(F.lit("/"), "ontology_id").alias("path"), "size", "mtime_ns", F.lit("json").alias("kind"))
+        store.write(folder, terms, table(spark, d, "lookup_entries"), manifest, _documents(spark, d), FTS_COLUMNS)
+    return folder
+
+
+def _searched(spark: SparkSession, d: str, asked: DataFrame) -> DataFrame:
+    return fts.search_index(asked, *store.text_index(spark, _store(spark, d)))
 
 
 def fts_or(spark: SparkSession, d: str) -> DataFrame:
-    return fts.search(_asked(spark, d), _documents(spark, d), FTS_COLUMNS).withColumn("score", F.round("score", 6))
+    return _searched(spark, d, _asked(spark, d)).withColumn("score", F.round("score", 6))
 
 
 def fts_phrase(spark: SparkSession, d: str) -> DataFrame:
     """Titles of terms as underscored keys, each one phrase with a prefix at its end."""
     asked = _terms(spark, d).select(F.col("term_key").alias("query_id"), keys.harmonize_key(F.col("title")).alias("label"))
-    return fts.search(asked, _documents(spark, d), FTS_COLUMNS).withColumn("score", F.round("score", 6))
+    return _searched(spark, d, asked).withColumn("score", F.round("score", 6))
 
 
 def exact_then_fts(spark: SparkSession, d: str) -> DataFrame:
     asked = _asked(spark, d)
-    exact = lookup.exact_lookup(asked, table(spark, d, "lookup_entries"))
-    return fts.exact_or_text(exact, fts.search(asked, _documents(spark, d), FTS_COLUMNS))
+    return fts.exact_or_text(lookup.exact_lookup(asked, table(spark, d, "lookup_entries")), _searched(spark, d, asked))
+
+
+def store_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """A store kept up to date: built, one ontology gone, one that fails, one changed; what it holds after each step."""
+    folder = f"{shared_dir(spark)}/refresh-{uuid.uuid4().hex[:8]}"
+    terms, entries, text_ = table(spark, d, "terms"), table(spark, d, "lookup_entries"), staged(_documents(spark, d), "documents")
+    sources = staged(terms.groupBy("ontology_id").agg(F.count("*").alias("size")).select("ontology_id", F.concat(F.lit("/"), "ontology_id").alias("path"), "size", F.lit(1).cast("long").alias("mtime_ns"), F.lit("json").alias("kind")), "sources")
+
+    def load(name):
+        if name == "fails":
+            raise ValueError("this ontology cannot be read")
+        return tuple(df.filter(F.col("ontology_id") == name) for df in (terms, entries, text_))
+
+    out = None
+    names = [r["ontology_id"] for r in sources.orderBy("ontology_id").collect()]  # one row per ontology
+    broken = spark.createDataFrame([("fails", "/fails", 1, 1, "json")], sources.schema)
+    later = sources.filter(F.col("ontology_id") != names[0]).withColumn("mtime_ns", F.when(F.col("ontology_id") == names[1], 2).otherwise(F.col("mtime_ns")))
+    for step, now in enumerate((sources.unionByName(broken), later)):
+        report = store.refresh(spark, folder, now, load, FTS_COLUMNS)
+        held = store.read(spark, folder, "postings").groupBy("ontology_id").agg(F.count_distinct("term_key").alias("terms"))
+        made = staged(report.join(held, "ontology_id", "left").select(F.lit(step).alias("step"), "ontology_id", "status", "error", F.coalesce("terms", F.lit(0)).alias("terms")), "report")
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def _harmonized(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    hits = lambda labels: _searched(spark, d, labels.withColumn("query_id", F.col("label"))).select(F.col("query_id").alias("label"), "ontology_id", "term_key", "score")
+    return harmonize.harmonize(table(spark, d, "miniml_records"), table(spark, d, "lookup_entries"), _terms(spark, d), _registry(spark, d), hits)
+
+
+def harmonized_documents(spark: SparkSession, d: str) -> DataFrame:
+    return _harmonized(spark, d)[0]
+
+
+def harmonized_targets(spark: SparkSession, d: str) -> DataFrame:
+    return _harmonized(spark, d)[1].select("record_id", "id", "pre_hz_field", "pre_hz_label", "n_occurrences", "hz_field", "hz_label", "ontology_id", "term_key", "match_type")
+
+
+def outcome_counts(spark: SparkSession, d: str) -> DataFrame:
+    empty = table(spark, d, "targets").filter(keys.harmonize_key(F.col("pre_hz_label")).isin(*EMPTY)).select("record_id", F.col("id").alias("target_id"))
+    return harmonize.outcome_counts(target_additions(spark, d), empty)
+
+
+def prune_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "targets")
+    asked = t.filter("target_id % 3 = 0").select("record_id", F.when(F.col("target_id") % 9 == 0, "target-x").otherwise(F.col("id")).alias("target_id"), F.col("target_id").alias("ordinal"))
+    again = asked.filter("ordinal % 2 = 0").withColumn("ordinal", -F.col("ordinal"))
+    return harmonize.prune_reasons(t, asked.unionByName(again))
+
+
+def candidate_ontologies(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "targets").select("target_id", F.when(F.col("target_id") % 2 == 0, F.array(F.lit("zute"), F.lit("none"), F.lit("anth"), F.lit("zute"))).alias("configured"))
+    names = table(spark, d, "terms").groupBy("ontology_id").agg(F.min("term_key").alias("ordinal")).withColumn("has_file", F.col("ontology_id") != "kesp")
+    return registry.candidate_ontologies(t, names)
+
+
+def field_registry(spark: SparkSession, d: str) -> DataFrame:
+    """Registered fields with a clash, a repeat and a review, listed by status."""
+    new = _registry(spark, d).select(F.col("canonical").alias("field_id"), "canonical", "aliases", F.lit("").alias("description"), F.lit(None).cast("string").alias("review_status"))
+    empty = spark.createDataFrame([], "field_id string, canonical string, aliases array<string>, description string, review_status string, created_at timestamp, updated_at timestamp")
+    first, _ = registry.put_fields(empty, new, "2026-01-01 00:00:00")
+    more = new.select(F.concat(F.lit("new "), "field_id").alias("field_id"), "canonical", "aliases", "description", "review_status").unionByName(new.withColumn("review_status", F.lit("odd")))
+    second, rejected = registry.put_fields(staged(first, "fields"), more, "2026-01-02 00:00:00")
+    reviewed = registry.set_review_status(second, new.filter(F.length("canonical") % 2 == 0).select("field_id", F.lit("reviewed").alias("review_status")), "2026-01-03 00:00:00")
+    return reviewed.select("field_id", F.col("review_status").alias("state")).unionByName(rejected.select("field_id", F.col("reason").alias("state")))
+
+
+def term_chunks(spark: SparkSession, d: str) -> DataFrame:
+    synonyms = F.concat(F.coalesce("synonyms.exact", F.array().cast("array<string>")), F.coalesce("synonyms.related", F.array().cast("array<string>")))
+    return _terms(spark, d).select("term_key", text.term_chunk(F.col("ontology_id"), F.col("title"), synonyms, F.col("description"), keys.truthy(F.col("accession"), F.col("id")), F.col("iri")).alias("chunk"))
 
 
 def _pivoted(spark: SparkSession, d: str) -> DataFrame:
@@ -270,16 +369,21 @@ def framework_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_sniff(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.looks_like_html(F.coalesce("text", F.lit(""))).alias("is_html"))
+    """Texts, every third of them as a page and every other third as one after an XML declaration."""
+    body = F.coalesce("text", F.lit(""))
+    page = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("  <!DOCTYPE html><p>"), body)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("<?xml version='1.0'?>\n<HTML>"), body)).otherwise(body)
+    return table(spark, d, "documents").select("doc_id", text.looks_like_html(page).alias("is_html"))
 
 
 def query_validate(spark: SparkSession, d: str) -> DataFrame:
-    return text.valid_queries(table(spark, d, "documents").select("page_id", F.col("edit_comment").alias("query")), "page_id")
+    asked = F.when(F.col("doc_id") % 5 == 0, F.concat("edit_comment", F.lit(" [Dataset]"))).otherwise(F.col("edit_comment"))
+    return text.valid_queries(table(spark, d, "documents").select("page_id", asked.alias("query")), "page_id")
 
 
 _ALL = (harmonize_key, key_twice, typed_terms, iri_parts, term_hash, chunk_text, clipped_text, exact_lookup, exact_unique, lookup_index, field_resolve, alias_conflicts, local_enrichment, decision_match, dedupe_targets, occurrence_union,
         extract_targets, scalar_walk, target_additions, target_prunes, free_target_ids, metadata_context, write_back, json_pointer, vector_topk, balanced_pool, preferred_pool, hierarchy_edges, hierarchy_relatives, hierarchy_pick, fts_or,
-        fts_phrase, exact_then_fts, triple_terms, triple_properties, cache_live, freshness_diff, framework_counts, html_sniff, query_validate)
+        fts_phrase, exact_then_fts, triple_terms, triple_properties, cache_live, freshness_diff, framework_counts, html_sniff, query_validate,
+        store_refresh, harmonized_documents, harmonized_targets, outcome_counts, prune_outcomes, candidate_ontologies, field_registry, term_chunks)
 
 
 def queries() -> dict:
@@ -341,14 +445,15 @@ relatives as (select query_id, ontology_id, seed, relation, depth, term_key, rou
     out = {
         "hierarchy_relatives": f"with {_NEAR}, {tree} select * from relatives",
         "fts_phrase": f"""with {_TERMS}, {docs},
-words as (select query_id, {tok('w')} as p, count(*) as times from (select term_key as query_id, unnest(regexp_extract_all(lower({sql_key('title')}), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) as w from typed) group by 1, 2),
+words as (select query_id, {tok('w')} as p, count(*) as times from (select term_key as query_id, unnest(regexp_extract_all(lower({sql_key('title')}), '[\\p{{L}}\\p{{N}}_]+')) as w from typed) group by 1, 2),
 {hits}, {scored} select query_id, ontology_id, term_key, round(score, 6) as score, position from ranked""",
         "exact_then_fts": f"""with {_TERMS}, {docs},
-keyed as (select ref_id as query_id, {sql_key('canonical')} as lookup_key from reference_values),
+asked as (select target_id as query_id, pre_hz_label as label from targets where target_id % 100 = 0 and pre_hz_label is not null),
+keyed as (select query_id, {sql_key('label')} as lookup_key from asked),
 once as (select *, row_number() over (partition by ontology_id, lookup_key, term_key order by index_rank, source_order, index_name) as n from lookup_entries where lookup_key is not null),
 placed as (select ontology_id, lookup_key, term_key, row_number() over (partition by ontology_id, lookup_key order by index_rank, source_order, term_key) as position from once where n = 1),
 exact_hits as (select query_id, ontology_id, term_key, position from keyed join placed using (lookup_key)),
-words as (select query_id, {tok('w')} as p, count(*) as times from (select ref_id as query_id, unnest(regexp_extract_all(lower(canonical), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) as w from reference_values) group by 1, 2),
+words as (select query_id, {tok('w')} as p, count(*) as times from (select query_id, unnest(regexp_extract_all(lower(label), '[\\p{{L}}\\p{{N}}_]+')) as w from asked) group by 1, 2),
 {hits}, {scored} select *, 'exact' as match_type from exact_hits union all select query_id, ontology_id, term_key, position, 'fts' from ranked where query_id not in (select query_id from exact_hits)""",
         "harmonize_key": f"select target_id, {sql_key('pre_hz_label')} as key from targets",
         "key_twice": f"select target_id, {sql_key(sql_key('pre_hz_label'))} as key from targets",
@@ -362,9 +467,24 @@ words as (select query_id, {tok('w')} as p, count(*) as times from (select ref_i
         "lookup_index": f"with {_TERMS} select distinct x.* from (select 'label' as index_name, 0 as index_rank, {sql_key('title')} as lookup_key, term_key from typed where title is not null union all select 'id', 1, {sql_key('id')}, term_key from typed where id is not null union all select 'accession', 2, {sql_key('accession')}, term_key from typed where accession is not null union all select 'iri', 3, {sql_key('iri')}, term_key from typed where iri is not null) x",
         "field_resolve": f"""with names as (select {sql_key('n')} as name, arg_min(ref_id, ref_id) as field_id from (select ref_id, unnest(list_concat([cast(ref_id as varchar), canonical], coalesce(aliases, []))) as n from reference_values where kind = 'field') group by 1)
 select t.target_id, n.field_id from targets t left join names n on n.name = {sql_key('t.pre_hz_field')}""",
-        "alias_conflicts": f"select name, count(distinct ref_id) as fields from (select ref_id, {sql_key('n')} as name from (select ref_id, unnest(list_concat([canonical], coalesce(aliases, []))) as n from reference_values)) group by 1 having count(distinct ref_id) > 1",
-        "local_enrichment": f"with {_TERMS} select term_key as key, title, description from typed",
-        "decision_match": f"with {_TERMS} select ontology_id, max(iri) as decision, arg_max(term_key, iri) as term_key from typed group by 1",
+        "alias_conflicts": f"select name, count(distinct ref_id) as fields from (select ref_id, {sql_key('n')} as name from (select ref_id, unnest(list_concat([canonical], coalesce(aliases, []))) as n from reference_values union all select ref_id + 1, ' ' || upper(canonical) || '.' from reference_values where ref_id % 2 = 0)) group by 1 having count(distinct ref_id) > 1",
+        "local_enrichment": f"""with {_TERMS}, asked as (select term_key as key, case when length(term_key) % 2 = 0 then upper(iri) else upper(accession) end as x, case when length(iri) % 3 = 0 then 'own title' end as title from typed),
+known as (select unnest([id, accession, iri]) as i, term_key, title, description from typed where description is not null),
+met as (select a.key, min(k.term_key) as term_key from asked a join known k on lower(trim(k.i)) = lower(trim(a.x)) group by 1)
+select a.key, coalesce(a.title, t.title) as title, t.description from asked a left join met m using (key) left join typed t on t.term_key = m.term_key""",
+        "decision_match": f"""with {_TERMS}, {_HITS}, hits as (select k.target_id, p.ontology_id, p.term_key, p.position, t.iri from keyed k join placed p using (lookup_key) join typed t on t.ontology_id = p.ontology_id and t.term_key = p.term_key),
+d as (select target_id, max(iri) as decision from hits group by 1)
+select d.target_id, d.decision, h.ontology_id, h.term_key from d join hits h on h.target_id = d.target_id and h.iri = d.decision qualify row_number() over (partition by d.target_id order by h.ontology_id, h.position) = 1""",
+        "outcome_counts": f"""with o as (ADDITIONS), a as (select record_id, count_if(outcome = 'added') as added, count_if(outcome = 'merged') as merged, count_if(outcome not in ('added', 'merged')) as rejected from o group by 1),
+g as (select record_id, count(distinct id) as pruned from targets where {sql_key('pre_hz_label')} in ('', 'n/a', 'not_applicable', 'unknown', 'none', 'missing') group by 1)
+select coalesce(a.record_id, g.record_id) as record_id, coalesce(added, 0) as added, coalesce(merged, 0) as merged, coalesce(rejected, 0) as rejected, coalesce(pruned, 0) as pruned from a full join g on a.record_id = g.record_id""",
+        "prune_outcomes": """with a as (select record_id, case when target_id % 9 = 0 then 'target-x' else id end as target_id, target_id as ordinal from targets where target_id % 3 = 0),
+p as (select * from a union all select record_id, target_id, -ordinal from a where ordinal % 2 = 0)
+select record_id, target_id, ordinal, case when not exists (select 1 from targets t where t.record_id = p.record_id and t.id = p.target_id) then 'unknown_target' when row_number() over (partition by record_id, target_id order by ordinal) > 1 then 'duplicate_prune' else 'pruned' end as outcome from p""",
+        "candidate_ontologies": """with c as (select ontology_id, row_number() over (order by min(term_key), ontology_id) - 1 as ordinal from terms where ontology_id <> 'kesp' group by 1)
+select target_id, ontology_id, cast(ordinal as int) as ordinal from targets, c where target_id % 2 = 1
+union all select target_id, x.o, x.n from targets, (values ('zute', 0), ('anth', 2), ('zute', 3)) x(o, n) where target_id % 2 = 0""",
+        "term_chunks": f"with {_TERMS} select term_key, 'Ontology: ' || ontology_id || chr(10) || 'Term: ' || coalesce(title, '') || chr(10) || 'Synonyms: ' || array_to_string(list_filter(list_concat(coalesce(exact, []), coalesce(related, [])), lambda s: s is not null and s <> ''), '; ') || chr(10) || 'Description: ' || coalesce(description, '') || chr(10) || 'Accession: ' || coalesce(nullif(accession, ''), nullif(id, ''), '') || chr(10) || 'IRI: ' || coalesce(iri, '') as chunk from typed",
         "dedupe_targets": "select record_id, 'target-' || (row_number() over (partition by record_id order by first) - 1) as id, pre_hz_field, pre_hz_label, n_occurrences from (select record_id, pre_hz_field, pre_hz_label, min(target_id) as first, count(*) as n_occurrences from targets group by 1, 2, 3)",
         "occurrence_union": "select record_id, min(target_id) as target_id from targets group by record_id, pre_hz_field_path, pre_hz_label_path, parent_path",
         "target_additions": f"""
@@ -375,7 +495,8 @@ b as (select record_id, ordinal, source_target_id, field, label, case when r is
 c as (select record_id, ordinal, source_target_id, field, label, case when r is null and row_number() over (partition by record_id, r, source_target_id order by ordinal) > 1 then 'per_source_limit_exceeded' else r end as r from b)
 select record_id, ordinal, source_target_id, field, label, coalesce(r, case when row_number() over (partition by record_id, r, field, label order by ordinal) = 1 then 'added' else 'merged' end) as outcome from c""",
         "target_prunes": f"select target_id from targets t where not exists (select 1 from targets e where e.record_id = t.record_id and e.id = t.id and {sql_key('e.pre_hz_label')} in ('', 'n/a', 'not_applicable', 'unknown', 'none', 'missing'))",
-        "json_pointer": "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events",
+        "json_pointer": """with p as (select distinct record_id, unnest([pre_hz_label_path, parent_path || '/no such']) as path from targets)
+select p.record_id, p.path, case when json_valid(metadata) and json_type(metadata, p.path) not in ('OBJECT', 'ARRAY', 'NULL') then json_extract_string(metadata, p.path) end as value from p join miniml_records r using (record_id) where p.path is not null""",
         "vector_topk": f"with {_NEAR} select query_id, ontology_id, term_key, round(score, 6) as score, position from near",
         "balanced_pool": f"""with {_NEAR},
 kept as (select *, row_number() over (partition by query_id, ontology_id order by score desc, position) <= 2 as r from near where score >= 0.0),
@@ -387,16 +508,9 @@ o as (select *, row_number() over (partition by query_id order by case when pref
 select query_id, ontology_id, term_key, pool_rank from o where pool_rank <= 10""",
         "hierarchy_edges": f"""with {_TERMS}, refs as (select distinct ontology_id, term_key as child, {sql_key('r')} as lookup_key from (select ontology_id, term_key, unnest(list_concat(coalesce(parents, []), coalesce(parent_iris, []))) as r from typed))
 select distinct r.ontology_id, r.child, e.term_key as parent from refs r join lookup_entries e on e.ontology_id = r.ontology_id and e.lookup_key = r.lookup_key and e.index_name in ('id', 'accession', 'iri') where e.term_key <> r.child""",
-        "fts_or": f"""with {_TERMS},
-docs as (select ontology_id, term_key, list_concat({joined(tok('title'), tok("array_to_string(list_concat(coalesce(exact, []), coalesce(related, [])), ' ')"), tok('description'), tok("concat_ws(' ', id, accession, iri)"))}) as t from typed),
-tokens as (select ontology_id, term_key, unnest(t) as token from docs),
-totals as (select count(*) as n, avg(len(t)) as mean from docs),
-words as (select query_id, w, count(*) as times from (select ref_id as query_id, unnest(regexp_extract_all(strip_accents(lower(canonical)), '[\\p{{L}}\\p{{N}}_]+')) as w from reference_values) group by 1, 2),
-hits as (select w.w, t.ontology_id, t.term_key, count(*) as f from (select distinct w from words) w join tokens t on starts_with(t.token, w.w) group by 1, 2, 3),
-df as (select w, count(*) as df from hits group by 1),
-scored as (select h.*, -(case when ln((n - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n - df + 0.5) / (df + 0.5)) end) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(d.t) / mean)) as s from hits h join df using (w) join docs d using (ontology_id, term_key), totals),
-best as (select query_id, ontology_id, term_key, sum(s * times) as score from words join scored using (w) group by 1, 2, 3)
-select query_id, ontology_id, term_key, round(score, 6) as score, row_number() over (partition by query_id, ontology_id order by round(score, 9), term_key) as position from best qualify position <= 25""",
+        "fts_or": f"""with {_TERMS}, {docs},
+words as (select query_id, {tok('w')} as p, count(*) as times from (select target_id as query_id, unnest(regexp_extract_all(lower(pre_hz_label), '[\\p{{L}}\\p{{N}}_]+')) as w from targets where target_id % 100 = 0) group by 1, 2),
+{hits}, {scored} select query_id, ontology_id, term_key, round(score, 6) as score, position from ranked""",
         "triple_terms": f"""with {_TRIPLE} select subject, min(object_value) filter (predicate = 'http://types.terms.example/rdfs#label' and object_type = 'literal') as title,
 coalesce(array_to_string(list_sort(list(distinct object_value) filter (predicate = 'http://vocab.terms.example/syn/exact' and object_type <> 'bnode')), '|'), '') as exact,
 coalesce(array_to_string(list_sort(list(distinct object_value) filter (predicate = 'http://types.terms.example/rdfs#subClassOf' and object_type <> 'bnode')), '|'), '') as parent_iris from mine group by 1""",
@@ -406,8 +520,10 @@ and predicate not in ('http://types.terms.example/rdf#type', 'http://types.terms
 where n = 1 and (select max(ts) from events) - ts <= interval 604800 seconds""",
         "freshness_diff": "select ontology_id, case ontology_id when 'anth' then 'new' when 'zute' then 'gone' when 'kesp' then 'changed' else 'fresh' end as status from terms group by 1",
         "framework_counts": "select coalesce(t.ontology_id, e.ontology_id) as ontology_id, coalesce(t.n, 0) as terms, coalesce(e.n, 0) as lookups from (select ontology_id, count(*) as n from terms group by 1) t full join (select ontology_id, count(*) as n from lookup_entries group by 1) e on t.ontology_id = e.ontology_id",
-        "html_sniff": "select doc_id, regexp_matches(lower(ltrim(substr(coalesce(text, ''), 1, 4096))), '^(<!doctype html|<html)') as is_html from documents",
+        "html_sniff": """select doc_id, regexp_matches(lower(regexp_replace(ltrim(substr(page, 1, 4096)), '^<[?]xml[^>]*[?]>\\s*', '')), '^(<!doctype html|<html)') as is_html from (
+select doc_id, case doc_id % 3 when 0 then '  <!DOCTYPE html><p>' || coalesce(text, '') when 1 then '<?xml version=''1.0''?>' || chr(10) || '<HTML>' || coalesce(text, '') else coalesce(text, '') end as page from documents)""",
         "query_validate": f"""select page_id, count(*) as n, case when bool_or(coalesce({_flat('edit_comment')}, '') = '') then 'empty' when count(*) > 3 then 'too_many' when count(distinct lower({_flat('edit_comment')})) < count(*) then 'duplicate'
-when bool_or(regexp_matches(edit_comment, '\\[(?i:filter|dataset)\\]')) then 'filter' end as problem from documents group by 1""",
+when bool_or(regexp_matches(edit_comment, '\\[(?i:filter|dataset)\\]')) then 'filter' end as problem from (select page_id, case when doc_id % 5 = 0 then edit_comment || ' [Dataset]' else edit_comment end as edit_comment from documents) group by 1""",
     }
+    out["outcome_counts"] = out["outcome_counts"].replace("ADDITIONS", out["target_additions"])
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from urllib.parse import urljoin
 from xml.etree import ElementTree
 
@@ -179,18 +180,136 @@ def read_rdf(spark: SparkSession, path: str, parts: int = 1) -> DataFrame:
     return spark.read.format("rdfxml").option("path", path).option("parts", str(parts)).load()
 
 
+class _Text:
+    """A JSON text read in pieces: what was parsed is forgotten, so memory holds one value at a time."""
+
+    def __init__(self, path: str, size: int = 1 << 20):
+        self.file, self.size, self.text, self.at = open(path, encoding="utf-8"), size, "", 0
+        self.decoder = json.JSONDecoder()
+
+    def more(self) -> bool:
+        piece = self.file.read(self.size)
+        self.text, self.at = self.text[self.at :] + piece, 0
+        return bool(piece)
+
+    def peek(self) -> str:
+        while True:
+            while self.at < len(self.text) and self.text[self.at] in " \t\n\r":
+                self.at += 1
+            if self.at < len(self.text) or not self.more():
+                return self.text[self.at : self.at + 1]
+
+    def take(self, c: str) -> None:
+        if self.peek() != c:
+            raise ValueError(f"{c} is missing")
+        self.at += 1
+
+    def value(self) -> object:
+        self.peek()
+        while True:
+            try:
+                x, end = self.decoder.raw_decode(self.text, self.at)
+            except ValueError:
+                if not self.more():
+                    raise
+                continue
+            used = end - self.at
+            # A number at the end of a piece may go on in the next.
+            if end < len(self.text) or not self.more():
+                self.at += used
+                return x
+
+    def members(self):
+        """The names of an object, one after the other; the caller takes each value."""
+        self.take("{")
+        if self.peek() == "}":
+            self.at += 1
+            return
+        while True:
+            name = self.value()
+            self.take(":")
+            yield name
+            if self.peek() == ",":
+                self.at += 1
+            else:
+                self.take("}")
+                return
+
+
+def lookup_rows_of(path: str):
+    """(ontology_id, index_name, index_rank, lookup_key, payload, source_order) of a JSON file with ``terms`` maps, read as a stream.
+
+    The id is that of the object ``ontology``; where it comes after the maps, rows read before have null.
+    """
+    ranks = {"label": 0, "id": 1, "accession": 2, "iri": 3}
+    text, ontology = _Text(path), None
+    for name in text.members():
+        if name == "ontology":
+            x = text.value()
+            ontology = x.get("id") if isinstance(x, dict) else None
+        elif name == "terms" and text.peek() == "{":
+            for index in text.members():
+                if index not in ranks or text.peek() != "{":
+                    text.value()
+                    continue
+                for key in text.members():
+                    found = text.value()
+                    for order, term in enumerate(found if isinstance(found, list) else [found]):
+                        yield ontology, index, ranks[index], key, json.dumps(term, ensure_ascii=False), order
+        else:
+            text.value()
+
+
+class LookupReader(DataSourceReader):
+    def __init__(self, options):
+        self.options = options
+
+    def partitions(self):
+        import glob
+        import os
+
+        at = self.options["path"]
+        return [_File(p, 0, 1) for p in sorted(glob.glob(f"{at}/*.json") if os.path.isdir(at) else glob.glob(at))]
+
+    def read(self, partition):
+        rows: list = []
+        types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32())
+        names = ["file", "ontology_id", "index_name", "index_rank", "lookup_key", "payload", "source_order"]
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+        try:
+            for row in lookup_rows_of(partition.path):
+                rows.append((partition.path, *row))
+                if len(rows) == 5000:
+                    yield made()
+                    rows = []
+        except (ValueError, RecursionError):
+            pass  # the rows before the fault stand; ``valid_files`` tells which files are whole
+        if rows:
+            yield made()
+
+
+class LookupSource(DataSource):
+    """``spark.read.format("lookupjson").load(folder or pattern)``: one partition per file, one term in memory at a time."""
+
+    @classmethod
+    def name(cls):
+        return "lookupjson"
+
+    def schema(self):
+        return "file string, ontology_id string, index_name string, index_rank int, lookup_key string, payload string, source_order int"
+
+    def reader(self, schema):
+        return LookupReader(self.options)
+
+
 def read_lookup_json(spark: SparkSession, path: str) -> DataFrame:
     """(file, ontology_id, index_name, index_rank, lookup_key, payload, source_order) of ontology JSON files with ``terms`` maps.
 
-    A key's value is one term or a list of terms; ``source_order`` is the place in that list. Keys stay as written; files
-    that are no whole JSON, or lack a mapping, give no rows.
+    A key's value is one term or a list of terms; ``source_order`` is the place in that list. Keys stay as written. Files are
+    read as streams, so a file that breaks off gives the rows before the fault; ``valid_files`` tells the whole ones.
     """
-    ranks = F.create_map(*[F.lit(x) for kv in (("label", 0), ("id", 1), ("accession", 2), ("iri", 3)) for x in kv])
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    outer = whole.select("file", F.from_json("value", "ontology struct<id: string>, terms map<string, map<string, string>>").alias("j")).filter("j.terms is not null")
-    index = outer.select("file", F.col("j.ontology.id").alias("ontology_id"), F.explode("j.terms").alias("index_name", "m")).select("file", "ontology_id", "index_name", F.explode("m").alias("lookup_key", "v"))
-    many = F.when(F.startswith("v", F.lit("[")), F.from_json("v", "array<string>")).otherwise(F.array("v"))
-    return index.select("file", "ontology_id", "index_name", F.element_at(ranks, F.col("index_name")).alias("index_rank"), "lookup_key", F.posexplode(many).alias("source_order", "payload")).filter("index_rank is not null")
+    spark.dataSource.register(LookupSource)
+    return spark.read.format("lookupjson").option("path", path).load()
 
 
 def valid_files(spark: SparkSession, path: str) -> DataFrame:
@@ -257,6 +376,16 @@ def lookup_entries(terms: DataFrame) -> DataFrame:
     return rows.select("x.index_name", "x.index_rank", harmonize_key(F.col("x.key")).alias("lookup_key"), "term_key", "source_order")
 
 
+def lookup_maps(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(labels, identifiers) of OWL terms: (title, iris in order) for every title, and (index_name, key, iri) for every accession and IRI.
+
+    Several terms may have a title; of those with one accession the last by IRI counts.
+    """
+    labels = terms.filter("title is not null").groupBy("title").agg(F.array_sort(F.collect_set("iri")).alias("iris"))
+    named = terms.select("iri", F.explode(F.array(F.struct(F.lit("accession").alias("index_name"), F.col("accession").alias("key")), F.struct(F.lit("iri").alias("index_name"), F.col("iri").alias("key")))).alias("x"))
+    return labels, named.filter("x.key is not null").groupBy("x.index_name", "x.key").agg(F.max("iri").alias("iri"))
+
+
 def write_terms(terms: DataFrame, path: str) -> None:
     """One JSON object per term."""
     terms.write.mode("overwrite").json(path)

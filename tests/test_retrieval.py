@@ -105,7 +105,7 @@ def test_top_k_brute(spark):
     queries = [(k, [r.gauss(0, 1) for _ in range(4)]) for k in range(5)]
     v = spark.createDataFrame(rows, "ontology_id string, term_key string, vector array<double>")
     got = {}
-    for x in vector.top_k(spark.createDataFrame(queries, "query_id int, vector array<double>"), v, 4, batch=2).collect():
+    for x in vector.top_k(spark.createDataFrame(queries, "query_id int, vector array<double>"), v, 4).collect():
         got.setdefault((x["query_id"], x["ontology_id"]), {})[x["position"]] = x["term_key"]
     cos = lambda a, b: -1 if not any(a) or not any(b) else sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
     for qid, q in queries:
