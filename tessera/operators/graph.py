@@ -28,7 +28,7 @@ def relatives(seeds: DataFrame, links: DataFrame, vectors: DataFrame, depth: int
     """
     here, there = ("child", "parent") if direction == "parent" else ("parent", "child")
     step = links.select("ontology_id", F.col(here).alias("at"), F.col(there).alias("to"))
-    step = step.join(vectors.select("ontology_id", F.col("term_key").alias("to"), F.col("vector").alias("v")), ["ontology_id", "to"])
+    step = skew_join(step, vectors.select("ontology_id", F.col("term_key").alias("to"), F.col("vector").alias("v")), ["ontology_id", "to"])
     base = staged(seeds.filter(F.exists("vector", lambda x: x != 0)).select("query_id", "ontology_id", F.col("term_key").alias("seed"), "vector"), "seeds")
     own = base.select("query_id", "ontology_id", F.col("seed").alias("to")).distinct()
     frontier = base.select("*", F.col("seed").alias("at"))

@@ -84,5 +84,5 @@ def enriched(selected: DataFrame, local: DataFrame, key: str, fields: list[str])
     ids = lambda: F.array_distinct(F.transform(F.filter(F.array("id", "accession", "iri"), lambda x: x.isNotNull()), lambda x: F.lower(F.trim(x))))
     asked = selected.select(key, F.explode(ids()).alias("identifier"))
     known = local.select(F.explode(ids()).alias("identifier"), F.struct("ordinal", *fields).alias("t"))
-    found = asked.join(known, "identifier").groupBy(key).agg(F.min("t").alias("t"))
+    found = skew_join(known, asked, ["identifier"]).groupBy(key).agg(F.min("t").alias("t"))
     return selected.join(found, key, "left").select(*[F.coalesce(F.col(c), F.col(f"t.{c}")).alias(c) if c in fields else F.col(c) for c in selected.columns])

@@ -421,6 +421,30 @@ _TRIPLE = """named as (select t.subject, t.object_type, coalesce(p.namespace ||
   from triples t left join prefixes p on starts_with(t.predicate, p.prefix || ':') left join prefixes o on t.object_type = 'uri' and starts_with(t.object_value, o.prefix || ':')),
 mine as (select * from named where subject in (select subject from named where predicate = 'http://types.terms.example/rdf#type' and object_value = 'http://types.terms.example/owl#Class'))"""
 
+_EXTRACTED = r"""
+with recursive tree as (
+  select r.record_id, t.id, t.parent, t.key, left(t.type, 1) as kind, case when t.type in ('OBJECT', 'ARRAY', 'NULL') then null when t.type = 'BOOLEAN' then case t.atom ->> '$' when 'true' then 'True' else 'False' end else t.atom ->> '$' end as atom
+  from (select record_id, metadata from miniml_records where json_valid(metadata)) r, json_tree(r.metadata) t),
+members as (select record_id, parent as id, max(atom) filter (key = 'tag') as tag, max(atom) filter (key = 'value') as value from tree where parent is not null group by 1, 2),
+placed as (
+  select t.record_id, t.id, t.kind, t.atom, '' as ptr, '' as above, t.kind as kinds, cast(null as varchar) as start, false as done, m.tag, m.value
+  from tree t left join members m using (record_id, id) where t.parent is null
+  union all
+  select record_id, id, kind, atom, ptr, above, kinds, coalesce(was, case when (upper_kinds = 'OAOAO' and regexp_full_match(ptr, '/sample/[0-9]+/channel/[0-9]+/(source|molecule|organism|characteristics)'))
+      or (upper_kinds = 'AOAOAO' and regexp_full_match(ptr, '/[0-9]+/sample/[0-9]+/channel/[0-9]+/(source|molecule|organism|characteristics)')) then ptr end) as start, done, tag, value
+  from (select t.record_id, t.id, t.kind, t.atom, p.ptr || '/' || replace(replace(t.key, '~', '~0'), '/', '~1') as ptr, p.ptr as above, p.kinds as upper_kinds, p.kinds || t.kind as kinds, p.start as was,
+      p.done or (p.start is not null and p.kind = 'O' and p.value is not null and (p.tag is not null or ends_with(p.start, '/organism'))) as done, case when t.kind = 'O' then m.tag end as tag, case when t.kind = 'O' then m.value end as value
+    from placed p join tree t on t.record_id = p.record_id and t.parent = p.id left join members m on m.record_id = t.record_id and m.id = t.id)),
+found as (
+  select *, regexp_extract(start, '([a-z]+)$', 1) as field, list_transform(regexp_extract_all(start, '[0-9]+'), lambda x: cast(x as int)) as place from placed where start is not null and not done),
+targets_ as (
+  select record_id, id, place, case field when 'source' then 0 else 1 end as rank, field as pre_hz_field, atom as pre_hz_label, ptr as pre_hz_field_path, ptr as pre_hz_label_path, above as parent_path from found where field in ('source', 'molecule') and ptr = start and atom is not null
+  union all select record_id, id, place, 2, field, value, start, ptr || '/value', ptr from found where field = 'organism' and kind = 'O' and value is not null
+  union all select record_id, id, place, 3, tag, value, ptr || '/tag', ptr || '/value', ptr from found where field = 'characteristics' and kind = 'O' and tag is not null and value is not null)
+select record_id, 'target-' || n as id, 'metadata' as source, pre_hz_field, pre_hz_label, pre_hz_field_path, pre_hz_label_path, parent_path, n as ordinal
+from (select *, cast(row_number() over (partition by record_id order by place, rank, id) - 1 as int) as n from targets_)
+"""
+
 _TOKENS = r"regexp_extract_all(strip_accents(lower(coalesce({}, ''))), '[\p{{L}}\p{{N}}]+')"
 
 
@@ -475,6 +499,7 @@ select a.key, coalesce(a.title, t.title) as title, t.description from asked a le
         "decision_match": f"""with {_TERMS}, {_HITS}, hits as (select k.target_id, p.ontology_id, p.term_key, p.position, t.iri from keyed k join placed p using (lookup_key) join typed t on t.ontology_id = p.ontology_id and t.term_key = p.term_key),
 d as (select target_id, max(iri) as decision from hits group by 1)
 select d.target_id, d.decision, h.ontology_id, h.term_key from d join hits h on h.target_id = d.target_id and h.iri = d.decision qualify row_number() over (partition by d.target_id order by h.ontology_id, h.position) = 1""",
+        "extract_targets": _EXTRACTED,
         "outcome_counts": f"""with o as (ADDITIONS), a as (select record_id, count_if(outcome = 'added') as added, count_if(outcome = 'merged') as merged, count_if(outcome not in ('added', 'merged')) as rejected from o group by 1),
 g as (select record_id, count(distinct id) as pruned from targets where {sql_key('pre_hz_label')} in ('', 'n/a', 'not_applicable', 'unknown', 'none', 'missing') group by 1)
 select coalesce(a.record_id, g.record_id) as record_id, coalesce(added, 0) as added, coalesce(merged, 0) as merged, coalesce(rejected, 0) as rejected, coalesce(pruned, 0) as pruned from a full join g on a.record_id = g.record_id""",

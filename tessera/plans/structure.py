@@ -133,6 +133,22 @@ parsed as (
   from literals)
 """
 
+_ITEMS = """
+with recursive tree as (
+  select r.record_id, t.id, t.parent, t.key, left(t.type, 1) as kind, t.type not in ('OBJECT', 'ARRAY', 'NULL') as is_scalar
+  from (select record_id, metadata from miniml_records where json_valid(metadata)) r, json_tree(r.metadata) t),
+members as (select record_id, parent as id, bool_or(key = 'tag' and is_scalar) as has_tag, bool_or(key = 'value' and is_scalar) as has_value from tree where parent is not null group by 1, 2),
+placed as (
+  select record_id, id, kind, '' as ptr, '' as rest, kind as root, cast(null as varchar) as above from tree where parent is null
+  union all
+  select t.record_id, t.id, t.kind, p.ptr || x.step, case when p.root = 'A' and p.ptr = '' then '' else p.rest || x.step end, p.root, p.kind
+  from placed p join tree t on t.record_id = p.record_id and t.parent = p.id, lateral (select '/' || replace(replace(t.key, '~', '~0'), '/', '~1') as step) x)
+select p.record_id, p.ptr as item_path from placed p left join members m using (record_id, id) where p.kind = 'O' and (
+  regexp_full_match(rest, '/series(/[0-9]+)?') and (rest = '/series' or above = 'A')
+  or has_value and regexp_full_match(rest, '/sample(/[0-9]+)?/channel(/[0-9]+)?/organism(/[0-9]+)?') and (ends_with(rest, '/organism') or above = 'A')
+  or has_value and has_tag and regexp_matches(rest, '^/sample(/[0-9]+)?/channel(/[0-9]+)?/characteristics(/|$)'))
+"""
+
 
 def queries() -> dict:
     return {f.__name__: f for f in (p3_found, p3_wide, p3_wide_latest, p3_cells_latest, p3_rejected, p4_found, p4_packages, p4_series, p4_samples, p4_channels, p4_organisms, p4_characteristics, p4_items, p6_found, p6_paths, p6_descendants, p6_subtrees)}
@@ -159,6 +175,7 @@ select subject, column_name, case kind
     when 'date' then strftime(d, '%Y-%m-%d')
     when 'dateTime' then strftime(make_timestamp(cast(s * 1000000 as bigint)), '%Y-%m-%dT%H:%M:%SZ') end as cell
   from latest where n = 1""",
+        "p4_found": _ITEMS,
         "p6_found": _TREE + "select m.term_key, coalesce(t.root, '') as root_term_key, coalesce(t.depth, -1) as depth from terms m left join tree t on t.id = m.term_key",
         "p6_paths": _TREE + "select m.term_key, coalesce(t.root, '') as root_term_key, coalesce(t.depth, -1) as depth, coalesce(t.path, '') as path from terms m left join tree t on t.id = m.term_key",
         "p6_subtrees": _TREE + """
