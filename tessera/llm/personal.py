@@ -54,30 +54,40 @@ _CHAIN = rf"{_CAP}(?:-{_CAP})*"
 _UP = rf"[{_U}][{_U}'’]+(?:-[{_U}][{_U}'’]+)*"
 _INI = rf"[{_U}]\.(?!\w)"
 _STEP = rf"(?: |(?<=\.) ?)(?:(?:{_PARTICLES}) )*"
+# Patterns that are searched for begin with a set of characters, which is found quickly; what stands before it is looked at next.
+_FIRST = rf"[{_U}](?<![{_W}\d'’].)"
+_REST = rf"(?:['’][{_U}])?[{_L}]+(?:[{_U}][{_L}]+)?(?:-{_CAP})*"
 #: Runs of capitalised words, initials and particles, in small letters with a capital, or in capitals.
-_RUN = re.compile(rf"(?<![{_W}\d'’])(?:{_CHAIN}|{_INI})(?:{_STEP}(?:{_CHAIN}|{_INI}))+(?![{_W}])")
-_UP_RUN = re.compile(rf"(?<![{_W}\d'’]){_UP}(?: (?:(?:{_PARTICLES.upper()}) )*(?:{_UP}|{_INI}))+(?![{_W}])")
-#: Surname first, as written and in capitals.
-_SWAP = re.compile(rf"(?<![{_W}\d'’-])((?:(?:{_PARTICLES}) )*)({_CHAIN})(?=, ({_CHAIN})(?![{_W}]))")
-_UP_SWAP = re.compile(rf"(?<![{_W}\d'’-])((?:(?:{_PARTICLES.upper()}) )*)({_UP})(?=, ({_UP})(?![{_W}]))")
+_RUN = re.compile(rf"{_FIRST}(?:{_REST}|\.(?!\w))(?:{_STEP}(?:{_CHAIN}|{_INI}))+(?![{_W}])")
+_UP_RUN = re.compile(rf"{_FIRST}[{_U}'’]+(?:-[{_U}][{_U}'’]+)*(?: (?:(?:{_PARTICLES.upper()}) )*(?:{_UP}|{_INI}))+(?![{_W}])")
+#: Surname first, as written and in capitals; particles before it are looked for separately.
+_SWAP = re.compile(rf"(?P<s>[{_U}](?<![{_W}\d'’-].){_REST})(?=, (?P<g>{_CHAIN})(?![{_W}]))")
+_UP_SWAP = re.compile(rf"(?P<s>[{_U}](?<![{_W}\d'’-].)[{_U}'’]+(?:-[{_U}][{_U}'’]+)*)(?=, (?P<g>{_UP})(?![{_W}]))")
+_PARTICLES_BEFORE = re.compile(rf"(?<![{_W}\d'’-])(?:(?:{_PARTICLES}) )+$")
+_UP_PARTICLES_BEFORE = re.compile(rf"(?<![{_W}\d'’-])(?:(?:{_PARTICLES.upper()}) )+$")
 _CAPITAL_BEFORE = re.compile(rf"(?<![{_W}])([{_U}][{_W}'’-]*) $")
 _TOKEN = re.compile(rf"[{_U}]\.|[{_W}'’]+(?:-[{_W}'’]+)*")
-_LOW_GIVEN = re.compile(rf"(?<![{_W}\d@._'’-])[{_L}]{{2,}}(?:-[{_L}]{{2,}})?(?= [{_W}])|(?<=, )[{_L}]{{2,}}(?:-[{_L}]{{2,}})?")
+_LOW_WORD = re.compile(rf"[{_L}]{{2,}}")
+_LOW_GIVEN = re.compile(rf"[{_L}](?<![{_W}\d@._'’-].)[{_L}]+(?:-[{_L}]{{2,}})?")
 _LOW_REST = re.compile(rf"(?: [{_L}]\.)* ((?:(?:{_PARTICLES}) )*[{_L}]['’]?[{_L}]{{3,}}(?:-[{_L}]{{3,}})*)(?![{_W}@+]|\.[{_W}])")
 _LOW_SURNAME = re.compile(rf"(?:(?<![{_W}\d@._'’-])(?:{_PARTICLES}) )*(?<![{_W}\d@._'’-])[{_L}]['’]?[{_L}]{{3,}}(?:-[{_L}]{{3,}})*, $")
 _MORE_INITIALS = re.compile(rf"(?: [{_U}]\.)+(?!\w)", re.I)
 
 #: Cues of four languages by class: what a person is called by, what a person does, how one is introduced.
-_ROLE = re.compile(
-    rf"(?:\b(?:by|with|from|ask for|named|called|signed|sincerely|regards|name|nom|nombre|author|autor|auteur|editor|owner|holder|contact|kontakt|contacto|informant|interview\w*|entretien|entrevista|photo\w*|foto\w*|"
-    rf"portrait|text|texte|texto|drawing|family of|son of|daughter of|wife of|husband of|von|par|avec|por|con)|\b[a-z]{{3,}}(?:er|or|ist|ian|ant|man|woman|keeper))[ ]?[,:=]? ?(?:by |of |von |de |with |avec |con |: ?)?$", re.I)
-_TITLE_BEFORE = re.compile(r"(?:^|[^\w])(?:Prof|Professor|Dr|Doctor|Mr|Mrs|Ms|Miss|Mx|Herr|Frau|Mme|Mlle|(?<!\d )M(?=\.)|Sr|Sra|Srta|Don|Doña|Sir|Dame|Rev|PROF|DR|MR|MRS|MS)\.? $")
+ROLES_BEFORE = frozenset("""by with from named called signed sincerely regards name nom nombre author autor auteur editor owner holder contact kontakt contacto informant entretien entrevista
+portrait text texte texto drawing von par avec por con""".split())
+_ROLE_STARTS = ("interview", "photo", "foto")
+#: Ends of words for what a person does.
+_ROLE_ENDS = ("er", "or", "ist", "ian", "ant", "man", "woman")
+#: Two words that introduce a name, and words that may stand between a role and a name.
+_PAIRS = frozenset(("ask for", "family of", "son of", "daughter of", "wife of", "husband of"))
+_LINKS = frozenset("by of von de with avec con".split())
 _DOES = re.compile(
     r",? (?:lives?|lived|resides?|resided|works?|worked|was born|were married|is survived|died|said|says|wrote|writes|told|asked|answers?|answered|signed|owns?|owned|teaches|taught|joined|retired|moved|(?:may|can|could|should|must|will) be (?:reached|contacted|called|found)|"
     r"is (?:a|an|the|my|his|her|our|now|responsible|available)\b|born|aged|wohnt|wohnte|wohnhaft|lebt|arbeitet|sagte|geboren|schrieb|habite|habitait|demeure|née?|travaille|est né|a dit|vive|vivía|reside|nació|trabaja|dijo|firmó)\b", re.I)
 _FIELD_BEFORE = re.compile(r"(?:^|\n)[*#:;|!-]+ ?$|\|\| ?$|\|[^|=\n{}\[\]]{1,30}= ?$|<!-- ?$|\[\[[^|\]\n]+\|$|(?:^|\n)$|: ?$|-- ?$")
 _FIELD_AFTER = re.compile(r" ?\|\|| ?(?:\n|$)|\]\]| ?-->|, ?[\d(+]| ?[(<]|[.!]+(?:\s|$)")
-_SAINT = re.compile(r"(?:\b(?:Saint|Sainte|St|Ste|San|Santa|Santo|Sankt|São)\.?[ -]|\[\[(?:[A-Z][a-z]+:)[^|\]\n]*)$")
+_SAINT = re.compile(r"(?:\b(?:Saint|Sainte|St|Ste|San|Santa|Santo|Sankt|São)\.?[ -]|\[\[(?:[A-Z][a-z]+:)[^|\]\n]*)$", re.I)
 _NAMED_AFTER = re.compile(r" (?:was|is|were) (?:named|built|opened|rebuilt|restored|drained|closed|located)|, opened")
 
 _AT = r"(?: ?@ ?| ?[\[({] ?at ?[\])}] ?| AT )"
@@ -92,7 +102,8 @@ _SURE_PHONE = re.compile(r"\+|00|\(")
 _BEFORE_PHONE = re.compile(r"(?:tel\w*|tél\w*|phone|handy|móvil|mobile|cell|fax|voice|call|ring|dial|number|under|unter|reach\w* (?:at|on|under)|answers (?:on|to|at)|contact\w*|kontakt\w*)[ .:,=/]*$", re.I)
 _NOT_PERSONAL = re.compile(r"(?:isbn|issn|grid|coord\w*|catalog\w*|no\.|n°|nr\.|núm\.|year|pages?|census|height of|dates?|doi|oclc|lot|part|item|version|serial|model|invoice|order|population|area\w*|elevation\w*)[ =:|.,#_-]*(?:no|nr|number)?[ =:|.,#-]*(?:[\d.,-]+[ ,|-]*)?$", re.I)
 
-_ID = re.compile(r"(?<![\w.,/+-])(?:\d{3}-\d{2}-\d{4}|[A-Z]\d{8}|\d{8}[A-Z]|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|\d{6}[-+]\d{4}|[A-Z]{1,2}\d{6,9}[A-Z]?|[XYZ]-?\d{7}-?[A-Z]|\d{2} \d{3} \d{3} \d{3}|\d{7,12})(?![\w]|[-.,]\d)")
+_ID = re.compile(
+    r"[A-Z\d](?<![\w.,/+-].)(?:(?<=\d)(?:\d{2}-\d{2}-\d{4}|\d{7}[A-Z]|\d{5}[-+]\d{4}|\d \d{3} \d{3} \d{3}|\d{6,11})|(?<=[A-Z])(?:\d{8}|[A-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|[A-Z]?\d{6,9}[A-Z]?)|(?<=[XYZ])-?\d{7}-?[A-Z])(?![\w]|[-.,]\d)")
 _BEFORE_ID = re.compile(
     r"(?:passports?|pasaporte|reisepass|passeport|SSN|ID|\w*ID-?card|identity(?: card| document)?|insurance|NINO|social security|personal|personnummer|personalausweis|ausweis|steuer-?id|sozialversicherung\w*|numéro national|sécurité sociale|"
     r"identité|DNI|NIF|NIE|CURP|driver'?s licen[cs]e|driving licen[cs]e|tax|patient|employee|student)(?: ?-?(?:no|nr|number|numbers|nummer|n[°º]|n\.?º|id|code|card)\.?)?(?: is| was| ist| est| es)?[ =:.#]*$", re.I)
@@ -109,9 +120,11 @@ _BEFORE_STREET = re.compile(r"(?:\b(?:at|to|in|from|near|address|adresse|direcci
 _AFTER_STREET = re.compile(rf"[.]?(?:,? (?:in |à |en |\d{{4,5}} )?[{_U}]| ?\(|\.|;|$|\n)")
 
 #: Quick searches for places where a full pattern is then tried.
-_SIGN = re.compile(r"@|[\[({] ?at ?[\])}]| AT | at (?=[\w-]+ dot )")
-_DIGITS = re.compile(r"(?=[+(]\d)|(?<!\d)(?=\d{1,5}[ ./()-]+\d)")
-_HOUSE = re.compile(rf"\b\d{{1,4}}[a-zA-Z]?,? (?=[{_W}])")
+_SIGN = re.compile(r"@")
+_SPELT_SIGN = re.compile(r"[\[({] ?at ?[\])}]")
+_WORD_SIGN = re.compile(r" AT | at (?=[\w-]+ dot )")
+_DIGITS = re.compile(r"[+(\d](?:(?<=[+(])(?=\d)|(?<=\d)(?<!\d.)(?=\d{0,4}[ ./()-]+\d))")
+_HOUSE = re.compile(rf"\d(?<!\w.)\d{{0,3}}[a-zA-Z]?,? (?=[{_W}])")
 _GERMAN = re.compile(r"(?:straße|strasse|str\.|allee|weg|platz|gasse|ring|damm|ufer|markt|chaussee),? \d")
 _SPANISH = re.compile(r"\b(?:calle|c/|avenida|avda?\.|plaza|pl\.|paseo|camino|carrera|ronda) ", re.I)
 #: Small-letter texts one of which every Spanish street has; a text without them is not searched for one.
@@ -138,7 +151,10 @@ def _matches(kind: str, text: str):
     if kind == "id_number":
         yield from _ID.finditer(text)
     elif kind == "email":
-        for x, y in _windows([m.start() for m in _SIGN.finditer(text)], 80, 100, n):
+        places = [m.start() for m in _SIGN.finditer(text)] + [m.start() for m in _SPELT_SIGN.finditer(text)]
+        if " AT " in text or " dot " in text:
+            places += [m.start() for m in _WORD_SIGN.finditer(text)]
+        for x, y in _windows(sorted(places), 80, 100, n):
             yield from _EMAIL.finditer(text, x, y)
     elif kind == "phone":
         end = 0
@@ -208,16 +224,18 @@ def _in_run(text: str, m, upper: bool):
 
 def name_candidates(text: str, given: frozenset):
     """All candidates of names in their forms; those in small letters need a given name of the gazetteer to be found at all."""
-    for upper, run, swap in ((False, _RUN, _SWAP), (True, _UP_RUN, _UP_SWAP)):
+    for upper, run, swap, particles in ((False, _RUN, _SWAP, _PARTICLES_BEFORE), (True, _UP_RUN, _UP_SWAP, _UP_PARTICLES_BEFORE)):
         for m in run.finditer(text):
             yield from _in_run(text, m, upper)
         for m in swap.finditer(text):
-            stop = m.end(3)
+            start, stop = m.start(), m.end("g")
+            if p := particles.search(text[max(0, start - 24) : start]):
+                start -= len(p.group())
             more = _MORE_INITIALS.match(text, stop)
-            before = _CAPITAL_BEFORE.search(text[max(0, m.start() - 30) : m.start()])
+            before = _CAPITAL_BEFORE.search(text[max(0, start - 30) : start])
             part = before is not None and before.group(1).lower() not in _FUNCTION and before.group(1).lower() not in _TITLES
-            yield m.start(), more.end() if more else stop, 4 if upper else 2, _pieces(m.group(3)), _pieces(m.group(2)), part
-    if not given.isdisjoint(p for w in set(_LOW_GIVEN.findall(text)) for p in w.split("-")):
+            yield start, more.end() if more else stop, 4 if upper else 2, _pieces(m.group("g")), _pieces(m.group("s")), part
+    if not given.isdisjoint(_LOW_WORD.findall(text)):
         for m in _LOW_GIVEN.finditer(text):
             parts = _pieces(m.group())
             if given.isdisjoint(parts):
@@ -230,13 +248,42 @@ def name_candidates(text: str, given: frozenset):
                 yield start, more.end() if more else m.end(), 6, parts, _pieces(s.group()[:-2].split(" ")[-1]), False
 
 
+#: Marks that may stand at the start of a word.
+_OPENING = "([{|*'\"„“‘«<>-–—:;,!."
+
+
+def _titled(before: str) -> int:
+    """Characters of a title and its blank at the end of the text before a name; 0 if there is none."""
+    if not before.endswith(" "):
+        return 0
+    parts = before.split()
+    word = parts[-1].lstrip(_OPENING) if parts else ""
+    low = word.lower().rstrip(".")
+    if low not in _TITLES or not (word[0].isupper() or low in ("don", "doña")) or low == "m" and (word != "M." or len(parts) > 1 and parts[-2].isdigit()):
+        return 0
+    return len(word) + 1
+
+
+def _role(before: str) -> bool:
+    """Whether the text before a name ends with what introduces a person, or with what a person does."""
+    tail = before.rstrip(" ,:=")
+    if len(tail) == len(before) or tail.endswith((".", "!", "?", ";")):
+        return False
+    words = [w.strip(_OPENING + "]") for w in tail[-32:].lower().split()[-2:]]
+    if not words:
+        return False
+    if words[-1] in ROLES_BEFORE or " ".join(words) in _PAIRS:
+        return True
+    word = words[-2] if words[-1] in _LINKS and len(words) > 1 else words[-1]
+    return word in ROLES_BEFORE or word.startswith(_ROLE_STARTS) or len(word) >= 5 and word.endswith(_ROLE_ENDS)
+
+
 def _context(text: str, a: int, b: int, starts: list[int], stops: list[int]) -> tuple[int, int, int, int]:
     """Evidence around a name: title, role word before, what a person does after, other personal information on the same line."""
     before, after = text[max(0, a - 40) : a], text[b : b + 40]
-    titled = 1 if _TITLE_BEFORE.search(before) else 0
+    titled = _titled(before)
     if titled:
-        before = before[: _TITLE_BEFORE.search(before).start() + 1]
-    role, does = 1 if _ROLE.search(before) else 0, 1 if _DOES.match(after) else 0
+        before = before[:-titled]
     near = 0
     i = bisect_left(starts, b)
     if i < len(starts) and starts[i] - b <= NEAR and "\n\n" not in text[b : starts[i]]:
@@ -244,26 +291,27 @@ def _context(text: str, a: int, b: int, starts: list[int], stops: list[int]) ->
     i = bisect_right(stops, a) - 1
     if not near and i >= 0 and a - stops[i] <= NEAR and "\n\n" not in text[stops[i] : a]:
         near = 1
-    return titled, role, does, near
+    return 1 if titled else 0, 1 if _role(before) else 0, 1 if _DOES.match(after) else 0, near
 
 
 def name_votes(text: str, c: tuple, given: frozenset, surnames: frozenset, things: frozenset, starts: list[int], stops: list[int]) -> list[int] | None:
     """The votes of the labelers of names; None where none is for it.
 
-    Gazetteers of given names and surnames, title, role word before, what a person does after, other personal information
+    Gazetteers of given names and surnames (no opinion on what a word for a thing belongs to), title, role word before, what a person does after, other personal information
     beside it, a field or list item of its own; against it: words for things, saints, parts of longer runs, odd writing.
     """
     a, b, form, g, s, part = c
-    by_name = 0 if given.isdisjoint(g) else 1, 0 if surnames.isdisjoint(s) else 1
+    after = text[b : b + 24]
+    follow = re.match(rf" ([{_W}]+)", after)
+    thing = not _THINGS.isdisjoint(g) or not _THINGS.isdisjoint(s) or any(_NOUN.search(w) for w in (*g, *s)) or follow is not None and follow.group(1).lower() in _THINGS and follow.group(1)[0].isupper()
+    by_name = 0 if thing or given.isdisjoint(g) else 1, 0 if thing or surnames.isdisjoint(s) else 1
     around = _context(text, a, b, starts, stops)
     if not any(by_name) and not any(around):
         return None
-    before, after = text[max(0, a - 40) : a], text[b : b + 24]
+    before = text[max(0, a - 40) : a]
     field = 1 if _FIELD_BEFORE.search(before) and _FIELD_AFTER.match(after) else 0
-    follow = re.match(rf" ([{_W}]+)", after)
     head = 0 if things.isdisjoint(s) else -1
-    thing = not _THINGS.isdisjoint(g) or not _THINGS.isdisjoint(s) or any(_NOUN.search(w) for w in (*g, *s)) or follow is not None and follow.group(1).lower() in _THINGS and follow.group(1)[0].isupper()
-    odd = not _FUNCTION.isdisjoint(g) or not _FUNCTION.isdisjoint(s)
+    odd = not _FUNCTION.isdisjoint(g) or not _FUNCTION.isdisjoint(s) or any(w in ROLES_BEFORE or w.startswith(_ROLE_STARTS) for w in g)
     return [*by_name, *around, field, -1 if thing else 0, -1 if _SAINT.search(before) else 0, -1 if part or odd else 0, head, -1 if form >= 2 else 0]
 
 
@@ -383,12 +431,18 @@ def _with_names(documents: DataFrame, names: DataFrame, key: str) -> DataFrame:
     return rows.join(own, "row", "left").select(key, "text", "given", "surnames", "things")
 
 
-def reliabilities(patterns: dict[tuple[int, ...], int], rounds: int = 50, needed: float = 0.0, trust: float = 0.02) -> dict[tuple[int, ...], float]:
+#: Bounds of the log-odds of a vote for and of a vote against, by kind. Labelers that object to names are specific, so their votes weigh 12 to 1.
+BOUNDS = {"name": ((0.3, 4.0), (-8.0, -2.5))}
+_ANY = ((0.3, 30.0), (-30.0, -0.3))
+
+
+def reliabilities(patterns: dict[tuple[int, ...], int], rounds: int = 50, needed: float = 0.0, trust: float = 0.02, bounds: tuple = _ANY) -> dict[tuple[int, ...], float]:
     """Posterior of being true for every vote pattern, by expectation-maximisation over the labelers' reliabilities.
 
     Labelers are taken as independent given the truth; each has a chance of every vote for true and for false spans.
-    Starts from a majority of more than ``needed`` votes, keeps a weak prior that votes mean what they say, and takes no
-    labeler for worse than chance: a vote for never counts against, nor one against for.
+    Starts from a majority of more than ``needed`` votes and keeps a weak prior that votes mean what they say. The weight of a
+    vote stays within ``bounds``: no labeler is taken for worse than chance, and none decides alone, whatever it
+    seems to be worth where votes depend on each other.
     """
     if not patterns:
         return {}
@@ -408,7 +462,7 @@ def reliabilities(patterns: dict[tuple[int, ...], int], rounds: int = 50, needed
                 p1 = ((n * post)[at].sum() + weak * prior_for[value] / 8) / (w1 - 2 + weak)
                 p0 = ((n * (1 - post))[at].sum() + weak * prior_for[-value] / 8) / (w0 - 2 + weak)
                 odds = np.log(p1) - np.log(p0)
-                logit[at] += max(odds, 0.3) if value == 1 else min(odds, -0.3) if value == -1 else odds
+                logit[at] += np.clip(odds, *bounds[0]) if value == 1 else np.clip(odds, *bounds[1]) if value == -1 else odds
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return dict(zip(keys, post.tolist()))
 
@@ -417,7 +471,7 @@ def reliabilities(patterns: dict[tuple[int, ...], int], rounds: int = 50, needed
 _FORMS = 7
 
 
-def span_classifier(counts: dict[str, int], rounds: int = 300, needed: float = 0.0, trust: float = 0.02) -> dict[str, float]:
+def span_classifier(counts: dict[str, int], rounds: int = 300, needed: float = 0.0, trust: float = 0.02, bounds: tuple = _ANY) -> dict[str, float]:
     """Probability of every candidate key of one kind: a logistic regression trained on the EM posteriors of all candidates.
 
     Features are the single votes by value and the form of the span; rows are weighted by their number.
@@ -428,7 +482,7 @@ def span_classifier(counts: dict[str, int], rounds: int = 300, needed: float = 0
     merged: dict[tuple[int, ...], int] = {}
     for k, n in counts.items():
         merged[split[k][1]] = merged.get(split[k][1], 0) + n
-    post = reliabilities(merged, needed=needed, trust=trust)
+    post = reliabilities(merged, needed=needed, trust=trust, bounds=bounds)
     keys = list(counts)
     width = len(split[keys[0]][1])
     x = np.zeros((len(keys), 1 + 2 * width + _FORMS))
@@ -490,7 +544,7 @@ def _trained(documents: DataFrame, key: str, with_text: bool) -> tuple[DataFrame
     counts: dict[str, dict[str, int]] = {k: {} for k in KINDS}
     for r in found.select(F.explode("candidates").alias("c")).groupBy("c.kind", "c.votes").count().collect():
         counts[r["kind"]][r["votes"]] = r["count"]
-    return found, {(k, v): p for k in KINDS for v, p in span_classifier(counts[k], needed=NEEDED.get(k, 0.0)).items()}
+    return found, {(k, v): p for k in KINDS for v, p in span_classifier(counts[k], needed=NEEDED.get(k, 0.0), bounds=BOUNDS.get(k, _ANY)).items()}
 
 
 def _decided(candidates: list[dict], chances: dict, threshold: float) -> list[int]:
