@@ -72,7 +72,8 @@ def mix(documents: DataFrame, weights: DataFrame, budget: int | None = None, pat
     with a given budget beyond that, short sources give what they can. Weights count relative to the sources that have
     text; a source without weight is not used, one without text is reported with share 0. A text in several
     sources belongs to that of its smallest doc_id. copies: (doc_id, source, tokens, copies) with copies >= 1; report:
-    (source, target_share, tokens_used, reached_share, texts, copies_used, max_repeats).
+    (source, target_share, tokens_used, reached_share, texts, copies_used, max_repeats, tokens_there, tokens_unused). The last
+    two tell what the lowered budget costs: the tokens of the source's texts, and those of texts that are not used at all.
     """
     spark = documents.sparkSession
     rows = weights.select("source", "weight", "max_repeats").limit(MAX_SOURCES + 1).collect()
@@ -102,9 +103,10 @@ def mix(documents: DataFrame, weights: DataFrame, budget: int | None = None, pat
     summed = running_sum(rated, ["source", "tokens", "h", "doc_id"], "units", "upto", parts, lambda x: staged(x, "rated"))
     copies = F.floor(F.col("upto") / F.lit(UNIT)) - F.floor((F.col("upto") - F.col("units")) / F.lit(UNIT))
     chosen = staged(summed.select("doc_id", "source", "tokens", F.least(copies, F.col("cap").cast("long")).cast("int").alias("copies")).filter("copies > 0"), "chosen")
-    reached = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens_used"), F.count("*").alias("texts"), F.sum("copies").alias("copies_used"))
+    reached = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens_used"), F.count("*").alias("texts"), F.sum("copies").alias("copies_used"), F.sum("tokens").alias("tokens_once"))
     all_ = reached.agg(F.sum("tokens_used")).first()[0] or 0
-    wanted = spark.createDataFrame([(s, share.get(s, 0.0), caps[s]) for s in sorted(weight)], "source string, target_share double, max_repeats int")
+    there = {s: int(have[s]["t"]) for s in have}
+    wanted = spark.createDataFrame([(s, share.get(s, 0.0), caps[s], there.get(s, 0)) for s in sorted(weight)], "source string, target_share double, max_repeats int, tokens_there long")
     n = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c)
-    report = wanted.join(reached, "source", "left").select("source", "target_share", n("tokens_used"), (F.coalesce("tokens_used", F.lit(0)) / F.lit(float(max(all_, 1)))).alias("reached_share"), n("texts"), n("copies_used"), "max_repeats")
+    report = wanted.join(reached, "source", "left").select("source", "target_share", n("tokens_used"), (F.coalesce("tokens_used", F.lit(0)) / F.lit(float(max(all_, 1)))).alias("reached_share"), n("texts"), n("copies_used"), "max_repeats", "tokens_there", (F.col("tokens_there") - F.coalesce("tokens_once", F.lit(0))).alias("tokens_unused"))
     return chosen, report

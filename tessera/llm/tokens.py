@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 FOLDER, VOCABULARY = os.environ.get("TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that cuts text into pieces for the byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Longest stretch given to the tokenizer at once; longer texts are cut at white space, in the same places everywhere.
+#: Characters given to the tokenizer at once; longer texts are cut before blanks.
 _STRETCH = 100_000
 
 
@@ -25,12 +26,25 @@ def _encoding(path: str):
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+_BLANK = re.compile(r"(?<=\S)[ \n]")
+
+
 def stretches(text: str) -> list[str]:
-    """The whole text in stretches of at most about _STRETCH characters, cut before white space where there is some."""
+    """The whole text in stretches cut before a blank that follows another character, where the tokenizer begins a new piece in any case.
+
+    A stretch ends at the last such blank within _STRETCH characters, or at the next one beyond: a run without blanks is
+    never cut, so its tokens do not depend on where it stands.
+    """
     out, at = [], 0
     while len(text) - at > _STRETCH:
         end = max(text.rfind(" ", at + 1, at + _STRETCH), text.rfind("\n", at + 1, at + _STRETCH))
-        end = end if end > at else at + _STRETCH
+        while end > at + 1 and text[end - 1].isspace():
+            end -= 1
+        if end <= at + 1:
+            m = _BLANK.search(text, at + 1)
+            if m is None:
+                break
+            end = m.start()
         out.append(text[at:end])
         at = end
     return [*out, text[at:]]

@@ -75,3 +75,13 @@ def test_mix(spark):
     assert sum(x["doc_id"] >= 10_000 for x in rows) == 0
     chosen, report = mixing.mix(spark.createDataFrame([], "doc_id long, source string, text string"), w)
     assert chosen.count() == 0 and report.count() == 4
+
+
+def test_stretches_change_no_count(monkeypatch):
+    r = random.Random(4)
+    encoding = tokens._encoding(f"{tokens.FOLDER}/{tokens.VOCABULARY}")
+    monkeypatch.setattr(tokens, "_STRETCH", 20)
+    for _ in range(300):
+        text = "".join(r.choice(["word", "é", " ", "  ", "\n", "\n\n ", "x" * 30, "'s", "12", ".", "\t"]) for _ in range(r.randrange(60)))
+        parts = tokens.stretches(text)
+        assert "".join(parts) == text and sum(len(encoding.encode_ordinary(p)) for p in parts) == len(encoding.encode_ordinary(text)), text
