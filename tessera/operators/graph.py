@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.operators import vector
 from tessera.operators.skew import skew_join
 from tessera.operators.vector import cosine
 from tessera.session import staged
@@ -49,6 +50,27 @@ def relatives(seeds: DataFrame, links: DataFrame, vectors: DataFrame, depth: int
     return out
 
 
+def seeds_of(hits: DataFrame, queries: DataFrame, per_ontology: int = 2) -> DataFrame:
+    """(query_id, ontology_id, term_key, vector): the first ``per_ontology`` hits by position, before any threshold, with their query's vector."""
+    first = hits.filter(F.col("position") <= per_ontology).select("query_id", "ontology_id", "term_key")
+    return skew_join(first, queries.select("query_id", "vector"), ["query_id"])
+
+
+def search_many(queries: DataFrame, vectors: DataFrame, links: DataFrame, ontologies: list[str], dimensions: int, k: int = 10, parent_depth: int = 0, child_depth: int = 0) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(hits, errors, relatives): ``vector.search_many``, and the relatives of the first hits of every ontology where a depth is given."""
+    if k < 1 or min(parent_depth, child_depth) < 0:
+        raise ValueError("k must be at least 1, depths at least 0")
+    hits, errors = vector.search_many(queries, vectors, ontologies, dimensions, k)
+    hits = staged(hits, "hits")
+    found = None
+    good = vectors.join(errors.select("ontology_id"), "ontology_id", "left_anti")
+    for depth, direction in ((parent_depth, "parent"), (child_depth, "child")):
+        if depth:
+            part = relatives(seeds_of(hits, queries), links, good, depth, direction)
+            found = part if found is None else found.unionByName(part)
+    return hits, errors, found
+
+
 def relatives_threshold(threshold: Column, offset: float = 0.1) -> Column:
     return F.greatest(F.lit(-1.0), threshold - F.lit(offset))
 

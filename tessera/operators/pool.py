@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def balanced_pool(hits: DataFrame, thresholds: DataFrame | None = None, default: float = 0.5, reserved: int = 2, size: int = 10) -> DataFrame:
+def balanced_pool(hits: DataFrame, thresholds: DataFrame | None = None, default: float = 0.5, reserved: int = 2, size: int = 10, ontologies: list[str] | None = None) -> DataFrame:
     """The pool of every query: at least ``reserved`` hits per ontology, then the best of the rest up to max(size, reserved ones).
 
     hits: (query_id, ontology_id, framework_rank, identity, position, score). Hits below their ontology's threshold
     (table ontology_id, threshold; else ``default``) are out, equal ones and finite scores are in; an identity counts
-    once per ontology. The result has ``pool_rank`` by falling score, framework rank, position.
+    once per ontology. Hits of ontologies that are not in ``ontologies``, if given, are out. The result has ``pool_rank`` by falling score, framework rank, position.
     """
+    if ontologies is not None:
+        hits = hits.filter(F.col("ontology_id").isin(*ontologies)) if ontologies else hits.filter(F.lit(False))
     if thresholds is not None:
         hits = hits.join(thresholds.select("ontology_id", "threshold"), "ontology_id", "left")
     else:

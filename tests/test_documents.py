@@ -131,6 +131,7 @@ def test_infinite_scores(spark):
 
     hits = spark.createDataFrame([(1, "o", 0, str(k), k, s) for k, s in enumerate([0.9, float("inf"), float("-inf"), float("nan"), 0.5, 0.4])], "query_id int, ontology_id string, framework_rank int, identity string, position int, score double")
     assert [r["identity"] for r in pool.balanced_pool(hits).orderBy("pool_rank").collect()] == ["0", "4"]
+    assert pool.balanced_pool(hits, ontologies=["x"]).count() == pool.balanced_pool(hits, ontologies=[]).count() == 0 and pool.balanced_pool(hits, ontologies=["o"]).count() == 2
 
 
 def test_lookup_json(spark, tmp_path):

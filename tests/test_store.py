@@ -61,6 +61,18 @@ def test_vector_manifest_and_errors(spark, tmp_path):
     assert [(r["term_key"], round(r["score"], 6)) for r in hits.orderBy("position").collect()] == [("x", 1.0), ("z", 1.0)] and [r["ontology_id"] for r in errors.collect()] == ["b"]
 
 
+def test_search_with_relatives(spark):
+    from tessera.operators import graph
+
+    v = spark.createDataFrame([("a", "x", [1.0, 0.0]), ("a", "y", [0.9, 0.1]), ("a", "p", [0.0, 1.0]), ("b", "w", [1.0])], "ontology_id string, term_key string, vector array<double>")
+    links = spark.createDataFrame([("a", "x", "p"), ("a", "y", "p")], "ontology_id string, child string, parent string")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, vector array<double>")
+    hits, errors, found = graph.search_many(q, v, links, ["a", "b"], 2, k=3, parent_depth=1)
+    assert [r["term_key"] for r in hits.orderBy("position").collect()] == ["x", "y", "p"] and errors.count() == 1
+    assert {(r["seed"], r["relation"], r["term_key"]) for r in found.collect()} == {("x", "parent", "p"), ("y", "parent", "p")}
+    assert graph.search_many(q, v, links, [], 2)[2] is None and graph.search_many(q, v, links, [], 2)[0].count() == 0
+
+
 def test_queries_in_blocks(spark, monkeypatch):
     v = spark.createDataFrame([("o", f"t{k}", [float(k % 3), 1.0]) for k in range(12)], "ontology_id string, term_key string, vector array<double>").repartition(3)
     q = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(9)], "query_id int, vector array<double>")
