@@ -63,3 +63,12 @@ def test_common_words_are_not_shuffled(spark):
     rows = spark.createDataFrame([("o", f"t{k:03}", f"disorder w{k}", "") for k in range(300)], TERM)
     asked = spark.createDataFrame([(k, f"disorder w{k}") for k in range(200)], "query_id int, label string")
     assert shuffled(spark, lambda: fts.search(asked, rows, ["title"]).collect()) < 10_000
+
+
+def test_common_phrases_are_not_shuffled(spark):
+    """fts_phrase: tokens of every phrase stand in every term, though few phrases do."""
+    rows = spark.createDataFrame([("o", f"t{k:03}", f"deep w{k} of kind", "") for k in range(300)], TERM)
+    asked = spark.createDataFrame([(k, f"deep_w{k}_of_kin") for k in range(200)], "query_id int, label string")
+    found = []
+    assert shuffled(spark, lambda: found.extend(fts.search(asked, rows, ["title"]).collect())) < 10_000
+    assert {(x["query_id"], x["term_key"]) for x in found} == {(k, f"t{k:03}") for k in range(200)}
