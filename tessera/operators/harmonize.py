@@ -14,14 +14,14 @@ def chosen_terms(labels: DataFrame, entries: DataFrame, text_hits: DataFrame | N
     """(label, ontology_id, term_key, match_type): the term of every label that has one.
 
     Exact hits come first: the one with the best (index_rank, source_order), ties by ontology and key. A label without any
-    takes its best hit of ``text_hits`` (label, ontology_id, term_key, score; smaller is better), if given.
+    takes its best hit of ``text_hits`` (label, ontology_id, term_key, score; smaller is better, rounded to 9 places), if given.
     """
     exact = lookup.exact_lookup(labels.select("label").distinct(), entries)
     first = Window.partitionBy("label").orderBy("index_rank", "source_order", "ontology_id", "term_key")
     found = exact.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("label", "ontology_id", "term_key", F.lit("exact").alias("match_type"))
     if text_hits is None:
         return found
-    best = Window.partitionBy("label").orderBy("score", "ontology_id", "term_key")
+    best = Window.partitionBy("label").orderBy(F.round("score", 9), "ontology_id", "term_key")
     rest = text_hits.join(found.select("label"), "label", "left_anti").withColumn("_n", F.row_number().over(best)).filter("_n = 1")
     return found.unionByName(rest.select("label", "ontology_id", "term_key", F.lit("fts").alias("match_type")))
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tessera.operators import fts
+from tessera.operators import fts, harmonize
 from test_retrieval import bm25
 
 
@@ -72,3 +72,11 @@ def test_common_phrases_are_not_shuffled(spark):
     found = []
     assert shuffled(spark, lambda: found.extend(fts.search(asked, rows, ["title"]).collect())) < 10_000
     assert {(x["query_id"], x["term_key"]) for x in found} == {(k, f"t{k:03}") for k in range(200)}
+
+
+def test_best_text_hit_of_a_label(spark):
+    """harmonized_documents, harmonized_targets: scores that differ by less than 9 places are ties, which the ontology decides."""
+    labels = spark.createDataFrame([("kidny",), ("lung",)], "label string")
+    entries = spark.createDataFrame([("o", "label", 0, "lung", "t1", 0)], "ontology_id string, index_name string, index_rank int, lookup_key string, term_key string, source_order long")
+    hits = spark.createDataFrame([("kidny", "b", "t2", -1.0 - 1e-13), ("kidny", "a", "t3", -1.0), ("kidny", "c", "t4", -0.5), ("lung", "a", "t3", -9.0)], "label string, ontology_id string, term_key string, score double")
+    assert {tuple(r) for r in harmonize.chosen_terms(labels, entries, hits).collect()} == {("lung", "o", "t1", "exact"), ("kidny", "a", "t3", "fts")}
