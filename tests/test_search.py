@@ -5,6 +5,7 @@ import random
 import pytest
 
 from tessera.operators import fts, harmonize
+from tessera.plans import curation
 from test_retrieval import bm25
 
 
@@ -74,6 +75,24 @@ def test_common_phrases_are_not_shuffled(spark):
     assert {(x["query_id"], x["term_key"]) for x in found} == {(k, f"t{k:03}") for k in range(200)}
 
 
+def asked_of(monkeypatch, spark):
+    """The labels and ``top`` that the plans search for."""
+    calls, plain = [], fts.search_index
+    monkeypatch.setattr(fts, "search_index", lambda q, p, n, label="label", top=25: calls.append(({r[0] for r in q.select(label).collect()}, top)) or plain(q, p, n, label, top))
+    return calls
+
+
+def test_exact_hits_are_not_searched(spark, monkeypatch, tmp_path):
+    """exact_then_fts: only queries without an exact hit are searched."""
+    d = str(tmp_path)
+    spark.createDataFrame([(100, "Lung"), (200, "lungs cell"), (300, None), (401, "cell")], "target_id long, pre_hz_label string").write.parquet(f"{d}/targets.parquet")
+    spark.createDataFrame([("o", "label", 0, "lung", "a", 0), ("o", "label", 0, "cell", "b", 1)], "ontology_id string, index_name string, index_rank int, lookup_key string, term_key string, source_order long").write.parquet(f"{d}/lookup_entries.parquet")
+    spark.sql("""select 'o' as ontology_id, x as term_key, '{"title": "lung lungs cell"}' as payload, timestamp '2020-01-01 00:00:00' as indexed_at from values ('a'), ('b') as t(x)""").write.parquet(f"{d}/terms.parquet")
+    calls = asked_of(monkeypatch, spark)
+    got = {(r["query_id"], r["term_key"], r["match_type"]) for r in curation.exact_then_fts(spark, d).collect()}
+    assert got == {(100, "a", "exact"), (200, "a", "fts"), (200, "b", "fts")} and [c[0] for c in calls] == [{"lungs cell"}]
+
+
 def test_best_text_hit_of_a_label(spark):
     """harmonized_documents, harmonized_targets: scores that differ by less than 9 places are ties, which the ontology decides."""
     labels = spark.createDataFrame([("kidny",), ("lung",)], "label string")
