@@ -99,3 +99,10 @@ def test_best_text_hit_of_a_label(spark):
     entries = spark.createDataFrame([("o", "label", 0, "lung", "t1", 0)], "ontology_id string, index_name string, index_rank int, lookup_key string, term_key string, source_order long")
     hits = spark.createDataFrame([("kidny", "b", "t2", -1.0 - 1e-13), ("kidny", "a", "t3", -1.0), ("kidny", "c", "t4", -0.5), ("lung", "a", "t3", -9.0)], "label string, ontology_id string, term_key string, score double")
     assert {tuple(r) for r in harmonize.chosen_terms(labels, entries, hits).collect()} == {("lung", "o", "t1", "exact"), ("kidny", "a", "t3", "fts")}
+
+
+def test_one_text_hit_is_asked_for(spark, monkeypatch):
+    """harmonized_documents, harmonized_targets: no more hits are made than are taken."""
+    calls = asked_of(monkeypatch, spark)
+    curation.harmonized_targets(spark, "/root/testdata/sf0.001")
+    assert [top for _, top in calls] == [1]
