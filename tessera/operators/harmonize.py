@@ -9,6 +9,9 @@ from tessera.operators import lookup, targets, writeback
 from tessera.operators.skew import skew_join
 from tessera.session import staged
 
+#: Names of fields that are broadcast at most; more are joined by a shuffle.
+NAMES = 200_000
+
 
 def chosen_terms(labels: DataFrame, entries: DataFrame, text_hits: DataFrame | None = None) -> DataFrame:
     """(label, ontology_id, term_key, match_type): the term of every label that has one.
@@ -16,14 +19,19 @@ def chosen_terms(labels: DataFrame, entries: DataFrame, text_hits: DataFrame | N
     Exact hits come first: the one with the best (index_rank, source_order), ties by ontology and key. A label without any
     takes its best hit of ``text_hits`` (label, ontology_id, term_key, score; smaller is better, rounded to 9 places), if given.
     """
-    exact = lookup.exact_lookup(labels.select("label").distinct(), entries)
-    first = Window.partitionBy("label").orderBy("index_rank", "source_order", "ontology_id", "term_key")
-    found = exact.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("label", "ontology_id", "term_key", F.lit("exact").alias("match_type"))
+    first = entries.dropna(subset=["lookup_key"]).groupBy("lookup_key").agg(F.min(F.struct("index_rank", "source_order", "ontology_id", "term_key")).alias("t"))
+    keyed = labels.select("label").distinct().withColumn("lookup_key", harmonize_key(F.col("label")))
+    found = skew_join(keyed, first, ["lookup_key"]).select("label", "t.ontology_id", "t.term_key", F.lit("exact").alias("match_type"))
     if text_hits is None:
         return found
+    return found.unionByName(best_text(text_hits.join(found.select("label"), "label", "left_anti")))
+
+
+def best_text(text_hits: DataFrame) -> DataFrame:
+    """(label, ontology_id, term_key, match_type): the best hit of every label of ``text_hits``, ties by ontology and key."""
     best = Window.partitionBy("label").orderBy(F.round("score", 9), "ontology_id", "term_key")
-    rest = text_hits.join(found.select("label"), "label", "left_anti").withColumn("_n", F.row_number().over(best)).filter("_n = 1")
-    return found.unionByName(rest.select("label", "ontology_id", "term_key", F.lit("fts").alias("match_type")))
+    first = text_hits.withColumn("_n", F.row_number().over(best)).filter("_n = 1")
+    return first.select("label", "ontology_id", "term_key", F.lit("fts").alias("match_type"))
 
 
 def promoted(found: DataFrame, terms: DataFrame) -> DataFrame:
@@ -39,25 +47,28 @@ def harmonize(records: DataFrame, entries: DataFrame, terms: DataFrame, registry
     occurrences (only where ``specs`` is not given). hz_field is the registered field of the name, else the normalised name;
     hz_label the title of the chosen term, else the normalised label. ``text_hits`` is a function from a table of labels
     without an exact hit to (label, ontology_id, term_key, score), or None. Results go back at every occurrence; empty
-    fields and labels are not written. Records that are not JSON stay as they are.
+    fields and labels are not written. Records that are not JSON stay as they are. Terms are chosen once a label and joined to
+    the targets as the results are read: what a result does not hold, such as occurrences, is not shuffled for it.
     """
-    found = staged(targets.extract_targets(records, key, text, specs), "targets")
+    found = targets.extract_targets(records, key, text, specs)
     if specs is None:
         one = targets.dedupe_targets(found, key)
     else:
         paths = F.struct("pre_hz_field_path", "pre_hz_label_path", "parent_path")
         one = found.select(key, "id", "pre_hz_field", "pre_hz_label", F.lit(1).alias("n_occurrences"), F.array(paths).alias("occurrences"))
-    one = staged(one, "deduped")
-    fields = registry.select("field_id", F.first("canonical").over(Window.partitionBy("field_id").orderBy("ordinal")).alias("canonical")).distinct()
-    named = lookup.resolve_fields(one, registry, "pre_hz_field").join(fields, "field_id", "left").withColumn("hz_field", harmonize_key(F.coalesce("canonical", "pre_hz_field"))).drop("canonical", "name")
+    one = staged(one, "targets")
     labels = staged(one.select(F.col("pre_hz_label").alias("label")).dropna().distinct(), "labels")
-    exact = chosen_terms(labels, entries)
+    chosen = staged(chosen_terms(labels, entries), "exact")
     if text_hits is not None:
-        rest = labels.join(exact.select("label"), "label", "left_anti")
-        exact = chosen_terms(labels, entries, text_hits(rest))
-    chosen = staged(exact.withColumnRenamed("label", "pre_hz_label"), "chosen")
-    met = skew_join(staged(named.withColumn("hz_label", harmonize_key(F.col("pre_hz_label"))), "named"), chosen, ["pre_hz_label"], "left")
-    done = staged(promoted(staged(met, "met"), terms), "done")
+        rest = labels.join(chosen.select("label"), "label", "left_anti")
+        chosen = chosen.unionByName(staged(best_text(text_hits(rest)), "text"))
+    titled = staged(promoted(chosen.withColumn("hz_label", harmonize_key(F.col("label"))), terms).withColumnRenamed("label", "pre_hz_label"), "chosen")
+    met = skew_join(one, titled, ["pre_hz_label"], "left", deal=[key, "id"]).withColumn("hz_label", F.coalesce("hz_label", harmonize_key(F.col("pre_hz_label"))))
+    fields = registry.select("field_id", F.first("canonical").over(Window.partitionBy("field_id").orderBy("ordinal")).alias("canonical")).distinct()
+    names = staged(lookup.field_names(registry).join(fields, "field_id", "left"), "names")
+    keyed = met.withColumn("name", harmonize_key(F.col("pre_hz_field")))
+    named = keyed.join(F.broadcast(names), "name", "left") if names.count() <= NAMES else skew_join(staged(keyed, "met"), names, ["name"], "left")
+    done = named.withColumn("hz_field", harmonize_key(F.coalesce("canonical", "pre_hz_field"))).drop("canonical", "name")
     results = done.filter("hz_field <> '' and hz_label <> ''").select(key, "id", "hz_field", "hz_label", "term_id", F.col("ontology_id").alias("onto"), F.explode("occurrences").alias("o"))
     order = F.struct(F.regexp_extract("id", "([0-9]+)$", 1).cast("int"), "o.pre_hz_label_path")
     results = results.select(key, order.alias("ordinal"), "o.pre_hz_field_path", "o.pre_hz_label_path", "o.parent_path", "hz_field", "hz_label", "term_id", "onto")

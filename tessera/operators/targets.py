@@ -179,10 +179,11 @@ def resolved_values(records: DataFrame, paths: DataFrame, key: str = "record_id"
 def dedupe_targets(targets: DataFrame, document: str = "record_id") -> DataFrame:
     """One target per document, field and label: the first, with all occurrences in order and dense new ids.
 
-    targets: document, pre_hz_field, pre_hz_label, the three paths, ordinal. A document's targets are bounded by the document.
+    targets: document, pre_hz_field, pre_hz_label, the three paths, ordinal. A document's targets are bounded by the document
+    and shuffled once, by document.
     """
     paths = F.struct("ordinal", "pre_hz_field_path", "pre_hz_label_path", "parent_path")
-    groups = targets.groupBy(document, "pre_hz_field", "pre_hz_label").agg(F.min("ordinal").alias("first"), F.array_sort(F.collect_list(paths)).alias("o"))
+    groups = targets.repartition(document).groupBy(document, "pre_hz_field", "pre_hz_label").agg(F.min("ordinal").alias("first"), F.array_sort(F.collect_list(paths)).alias("o"))
     place = F.row_number().over(Window.partitionBy(document).orderBy("first")) - 1
     return groups.select(document, F.concat(F.lit("target-"), place).alias("id"), "pre_hz_field", "pre_hz_label", F.size("o").alias("n_occurrences"), F.transform("o", lambda x: x.dropFields("ordinal")).alias("occurrences"))
 

@@ -1,8 +1,12 @@
 """Text search by parts of the index: results against brute force, and what it shuffles."""
 
+import json
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import fts, harmonize
 from tessera.plans import curation
@@ -106,3 +110,52 @@ def test_one_text_hit_is_asked_for(spark, monkeypatch):
     calls = asked_of(monkeypatch, spark)
     curation.harmonized_targets(spark, "/root/testdata/sf0.001")
     assert [top for _, top in calls] == [1]
+
+
+def test_targets_are_staged_once(spark, monkeypatch):
+    """harmonized_targets: fields and terms are chosen once a name and label, and targets with their occurrences are written once."""
+    doc = {"sample": [{"channel": [{"characteristics": [{"tag": f"site {k}", "value": f"lung {k % 3}"} for k in range(10)]}]}]}
+    records = spark.createDataFrame([(k, json.dumps(doc)) for k in range(50)], "record_id long, metadata string")
+    entries = spark.createDataFrame([("o", "label", 0, "lung_0", "t1", 1), ("o", "label", 0, "lung_0", "t2", 0), ("a", "label", 0, "lung_0", "t3", 0)], "ontology_id string, index_name string, index_rank int, lookup_key string, term_key string, source_order long")
+    terms = spark.createDataFrame([("a", "t3", "Lung  organ", "A:3"), ("o", "t1", "", "O:1")], "ontology_id string, term_key string, title string, accession string").selectExpr("*", "accession as id", "accession as iri")
+    fields = spark.createDataFrame([("f1", "tissue", ["site 1"], 0)], "field_id string, canonical string, aliases array<string>, ordinal int")
+    text_hits = lambda labels: labels.filter("label = 'lung 1'").select("label", F.lit("o").alias("ontology_id"), F.explode(F.array(F.lit("t2"), F.lit("t1"))).alias("term_key"), F.lit(-1.0).alias("score"))
+    tables, plain = [], harmonize.staged
+    monkeypatch.setattr(harmonize, "staged", lambda df, name: tables.append(plain(df, name)) or tables[-1])
+    for most in (harmonize.NAMES, 0):
+        monkeypatch.setattr(harmonize, "NAMES", most)
+        tables.clear()
+        documents, found = harmonize.harmonize(records, entries, terms, fields, text_hits)
+        held = sum(t.count() for t in tables)
+        got = found.select("pre_hz_field", "hz_field", "field_id", "pre_hz_label", "hz_label", "term_key", "match_type").distinct().collect()
+        assert found.count() == 500 and {tuple(r) for r in got} == {
+            (f"site {k}", "tissue" if k == 1 else f"site_{k}", "f1" if k == 1 else None, f"lung {k % 3}", *(("Lung organ", "t3", "exact"), ("lung_1", "t1", "fts"), ("lung_2", None, None))[k % 3]) for k in range(10)}
+        assert json.loads(documents.first()["metadata"])["sample"][0]["channel"][0]["characteristics"][10:12] == [{"tag": "hz_site_0", "value": "Lung organ"}, {"tag": "hz_site_0_id", "value": "A:3"}]
+        if most:
+            assert held < 600  # 500 targets
+
+
+def test_rare_words_decide(spark, monkeypatch):
+    """harmonized_targets: terms that have only the common words of a query are not scored where they cannot be the best."""
+    r = random.Random(3)
+    docs = [("o", f"t{k:03}", f"{r.choice(['late', 'early'])} disorder of w{k // 2} {r.choice(['kind', 'type type'])}", "") for k in range(200)]
+    asked = [(k, f"late disorder of {r.choice([f'w{k}', f'w{k} w{k + 1}', 'none'])} type") for k in range(100)]
+    used, plain = [], fts._Block.likely
+    monkeypatch.setattr(fts._Block, "likely", lambda self, parts, top: used.append(x := plain(self, parts, top)) or x)
+    block = fts._Block(pa.table({"term_key": [d[1] for d in docs], "tokens": [d[2] for d in docs]}))
+    words = lambda label: [(t, -1.0 / len(t) * n, 1.0 / len(t) * n.max()) for t, n in filter(None, map(block.hits, label.split()))]
+    for top in (1, 2, 5):
+        for _, label in asked:
+            total = np.zeros(len(docs))
+            for t, s, _ in (parts := words(label)):
+                total[t] += s
+            terms, score = block.best(parts, top)
+            want = np.lexsort((np.arange(len(docs)), np.rint(total * 1e9)))[:top]
+            assert terms.tolist() == want.tolist() and score.tolist() == pytest.approx(total[want].tolist())
+    assert sum(x is not None for x in used) > 30
+    monkeypatch.undo()
+    got = {x["query_id"]: x["term_key"] for x in fts.search(spark.createDataFrame(asked, "query_id int, label string"), spark.createDataFrame(docs, TERM), ["title"], top=1).collect()}
+    plain_docs = [(d[1], [d[2].split(), []]) for d in docs]
+    for k, label in asked[:40]:
+        want = bm25(plain_docs, [[w] for w in label.split()])
+        assert got[k] == min(want, key=lambda t: (round(want[t], 9), t))
