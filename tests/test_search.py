@@ -79,6 +79,13 @@ def test_common_phrases_are_not_shuffled(spark):
     assert {(x["query_id"], x["term_key"]) for x in found} == {(k, f"t{k:03}") for k in range(200)}
 
 
+def test_index_is_shuffled_once_a_core(spark):
+    """fts_phrase: a term is one row, and every core gets it once to count and once to score."""
+    rows = spark.createDataFrame([("o", f"t{k:03}", f"deep w{k} of kind", f"note n{k}") for k in range(300)], TERM)
+    asked = spark.createDataFrame([(k, f"deep_w{k}_of_kin") for k in range(200)], "query_id int, label string")
+    assert shuffled(spark, lambda: fts.search(asked, rows, ["title", "note"]).collect()) < 2 * 300 * spark.sparkContext.defaultParallelism + 1000
+
+
 def asked_of(monkeypatch, spark):
     """The labels and ``top`` that the plans search for."""
     calls, plain = [], fts.search_index
